@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import heavy, leaks, repeats, terms
+from lexiloom.llm import heavy, leaks, overlaps, repeats, terms
 from lexiloom.sources.tables import table
 
 
+def _evals(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"valid": table(s, d, "wiki_valid"), "test": table(s, d, "wiki_test")}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: repeats.found(table(s, d, "gutenberg")),
@@ -19,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_terms": lambda s, d: terms.marked_terms(table(s, d, "word_freqs")),
         "p3_found": lambda s, d: heavy.found(table(s, d, "word_freqs")),
         "p3_heavy": lambda s, d: heavy.heavy_hitters(terms.clean_rows(table(s, d, "word_freqs"))).select("term", "total"),
+        "p4_found": lambda s, d: overlaps.overlaps(table(s, d, "wiki_train"), _evals(s, d)),
+        "p4_report": lambda s, d: overlaps.report(table(s, d, "wiki_train"), _evals(s, d)),
         "p5_found": lambda s, d: leaks.found(table(s, d, "gutenberg"), table(s, d, "guten_test")),
         "p5_report": lambda s, d: leaks.report(table(s, d, "gutenberg"), table(s, d, "guten_test")),
     }
