@@ -36,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_heavy": f"WITH {TERMS} SELECT term, total FROM terms WHERE total * 500 >= (SELECT sum(total) FROM terms)",
         "p5_found": f"WITH {LEAKS} SELECT item_id, book_id FROM pairs",
         "p5_report": f"WITH {LEAKS} SELECT set_name, count(DISTINCT item_id) AS items, count(DISTINCT book_id) AS books FROM pairs JOIN (SELECT DISTINCT item_id, set_name FROM guten_test) USING (item_id) GROUP BY set_name",
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import heavy, leaks, overlaps, repeats, sentences, terms
+from lexiloom.llm import encode, heavy, leaks, overlaps, repeats, sentences, terms
 from lexiloom.sources.tables import table
 
 
@@ -27,5 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_report": lambda s, d: overlaps.report(table(s, d, "wiki_train"), _evals(s, d)),
         "p5_found": lambda s, d: leaks.found(table(s, d, "gutenberg"), table(s, d, "guten_test")),
         "p5_report": lambda s, d: leaks.report(table(s, d, "gutenberg"), table(s, d, "guten_test")),
+        "p6_ids": lambda s, d: encode.encoded(table(s, d, "documents")),
+        "p6_decoded": lambda s, d: encode.decoded(table(s, d, "documents")),
         "p8_found": lambda s, d: sentences.sentences(table(s, d, "documents")),
     }
