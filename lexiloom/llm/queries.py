@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import encode, heavy, leaks, overlaps, repeats, sentences, terms
+from lexiloom.llm import encode, heavy, leaks, mixing, overlaps, repeats, sentences, terms
 from lexiloom.sources.tables import table
 
 
@@ -29,5 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_report": lambda s, d: leaks.report(table(s, d, "gutenberg"), table(s, d, "guten_test")),
         "p6_ids": lambda s, d: encode.encoded(table(s, d, "documents")),
         "p6_decoded": lambda s, d: encode.decoded(table(s, d, "documents")),
+        "p7_selection": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")).selection(),
+        "p7_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
         "p8_found": lambda s, d: sentences.sentences(table(s, d, "documents")),
     }
