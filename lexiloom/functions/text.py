@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The word of learning (ASCII letters, one inner apostrophe each), of the rare-word list, and the
-#: characters that part words for fertility.
+# The word of learning (ASCII letters, one inner apostrophe each), of the rare-word list, the characters
+# that part words for fertility, and white space.
 WORD = r"[a-z]+(?:'[a-z]+)?"
 RARE_WORD = r"\b[a-z'-]+\b"
 NO_WORD = r"[^\p{L}\p{N}_]+"
+SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def stripped(text: Column | str) -> Column:
+    """A text without white space at its ends; null stays null."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def words(text: Column | str) -> Column:
@@ -19,7 +25,7 @@ def words(text: Column | str) -> Column:
 
 def rare_words(text: Column | str) -> Column:
     """The words of the rare-word list: inner and outer hyphens and apostrophes are kept, Unicode word bounds."""
-    return F.regexp_extract_all(F.lower(F.trim(text)), F.lit(RARE_WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(stripped(text)), F.lit(RARE_WORD), F.lit(0))
 
 
 def fertility_words(text: Column | str) -> Column:

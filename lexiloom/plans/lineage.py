@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -25,3 +26,9 @@ def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     """All rows of ``df`` if there are at most ``max_rows``, else None: the caller then takes its shuffled path."""
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def one_row(spark: SparkSession, parts: dict[str, DataFrame | Column]) -> DataFrame:
+    """One row of columns and of one-row tables, each table as a struct by a scalar subquery: nothing is joined."""
+    columns = [(p if isinstance(p, Column) else p.select(F.struct("*")).scalar()).alias(name) for name, p in parts.items()]
+    return spark.range(1).select(*columns)
