@@ -30,8 +30,8 @@ from lexiloom.sources.tables import tasks
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that parts texts into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Block numbers have at most so many bits, a block about so many documents.
-MAX_BITS, BLOCK_DOCS = 20, 64
+#: Block numbers have at most so many bits, a block at most about so many documents, a shard at least so many blocks.
+MAX_BITS, BLOCK_DOCS, SHARD_BLOCKS = 20, 64, 16
 
 
 def _sizes(ranks: Broadcast):
@@ -94,7 +94,9 @@ class Mix:
         capped = F.least(wanted, F.col("have") * F.col("cap"))  # least passes over a null cap
         quotas = quotas.withColumn("wanted", wanted).withColumn("quota", F.when(F.col("have") > 0, capped).otherwise(F.lit(0)))
         quotas = quotas.withColumn("passes", F.when(F.col("have") > 0, F.floor(F.col("quota") / F.col("have"))).otherwise(F.lit(0)).cast("bigint"))
-        bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.ceil(F.log2(F.greatest(F.col("docs") / BLOCK_DOCS, F.lit(1.0)))))).cast("int")
+        # so many blocks that each is small beside a shard
+        blocks = F.greatest(F.col("docs") / BLOCK_DOCS, F.least(F.col("docs").cast("double"), F.col("have") * SHARD_BLOCKS / shard_tokens), F.lit(1.0))
+        bits = F.least(F.lit(MAX_BITS), F.ceil(F.log2(blocks))).cast("int")
         #: (mix_id, source, ..., wanted, quota, passes, rest, bits); one row for each row of the targets.
         self.quotas = cut(quotas.withColumn("rest", F.col("quota") - F.col("passes") * F.col("have")).withColumn("bits", bits))
 

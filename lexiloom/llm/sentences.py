@@ -61,6 +61,8 @@ _BEFORE_NUMBER = re.compile(r"([^\W\d_]+)\s+\d{1,4}$")
 INITIALS = "A.A.A"
 #: From this share of decided cases on an abbreviation may end a sentence; below, it stands before names.
 ENDS = 0.12
+#: What is counted of each token.
+COUNTS = ("bare", "period", "small", "final", "starts", "names")
 #: A token and the word before it are looked for in so many characters before a period.
 BACK = 48
 
@@ -178,7 +180,7 @@ class Splitter:
                 if i[2]:
                     # a number that opens a wrapped line is an item only in its turn
                     n, style = int(i[2]), i[3]
-                    if n != 1 and number.get(style) != n - 1 and i.start() != a:
+                    if style == "." and n != 1 and number.get(style) != n - 1 and i.start() != a:
                         continue
                     number[style] = n
                 items.append((i.start(), i.end()))
@@ -359,11 +361,9 @@ def _after(text: str, end: int, b: int) -> str:
 
 
 def _clues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, bare, period, starts, names): partial corpus counts."""
-    bare: Counter[str] = Counter()
-    period: Counter[str] = Counter()
-    starts: Counter[str] = Counter()
-    names: Counter[str] = Counter()
+    """Partial corpus counts of each token: its places without and with a period, and of the latter those before a small
+    letter, digit or comma, at the end of a block, and before a capital that starts a sentence or may be a name."""
+    bare, period, small, final, starts, names = counts = [Counter() for _ in COUNTS]
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if not text:
@@ -378,10 +378,15 @@ def _clues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key in short:  # also a word of its own here: its cases tell nothing of an abbreviation
                     continue
                 n = _NEXT.search(text, i + 1, i + 40)
-                if n and n[0][0].isupper() and not (gap := text[i + 1 : n.start()]).strip(_OPEN) and gap.count("\n") < 2:
+                gap = text[i + 1 : n.start() if n else i + 40]
+                if gap.startswith(",") or n and not gap.strip(_OPEN) and gap.count("\n") < 2 and (n[0][0].islower() or n[0][0].isdigit()):
+                    small[key] += 1
+                elif gap.count("\n") > 1 or not n:
+                    final[key] += 1
+                elif n[0][0].isupper() and not gap.strip(_OPEN):
                     (starts if doc.starts(n[0]) else names)[key] += 1
     keys = list(bare.keys() | period.keys())
-    yield pa.RecordBatch.from_pydict({"token": keys, "bare": [bare[k] for k in keys], "period": [period[k] for k in keys], "starts": [starts[k] for k in keys], "names": [names[k] for k in keys]}, schema=pa.schema([("token", pa.string()), *((c, pa.int64()) for c in ("bare", "period", "starts", "names"))]))
+    yield pa.RecordBatch.from_pydict({"token": keys} | {c: [n[k] for k in keys] for c, n in zip(COUNTS, counts)}, schema=pa.schema([("token", pa.string()), *((c, pa.int64()) for c in COUNTS)]))
 
 
 def evidence(docs: DataFrame, usual: float = 0.1, least_z: float = 7.0, share: float = 0.5) -> DataFrame:
@@ -389,15 +394,18 @@ def evidence(docs: DataFrame, usual: float = 0.1, least_z: float = 7.0, share: f
     tokens that close with `` 0`` are words before ordinal numbers.
 
     An abbreviation stands with its period in at least ``share`` of its places, and so often that chance at the
-    ``usual`` share of words before a period is ruled out by ``least_z`` standard deviations.
+    ``usual`` share of words before a period is ruled out by ``least_z`` standard deviations. In one of twenty of these
+    places a sentence goes on, or it behaves like a title: next to never before a sentence's start or a block's end.
+    Tokens with inner periods are abbreviations by their shape; they are here for their ``ends``.
     """
-    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_clues, "token string, bare bigint, period bigint, starts bigint, names bigint")
-    total = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("bare", "period", "starts", "names")])
+    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_clues, ", ".join(["token string", *(f"{c} bigint" for c in COUNTS)]))
+    total = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
     seen, n = F.col("starts") + F.col("names"), F.col("period") + F.col("bare")
     ends = F.when(seen > 0, F.col("starts") / seen)
     number = F.col("token").endswith(" 0") & (seen >= 3) & (ends < 0.3)
     short = ~F.col("token").endswith(" 0") & (F.col("period") >= share * n) & (F.col("period") - usual * n >= least_z * F.sqrt(n * usual * (1 - usual)))
-    return total.where((F.col("period") > 0) & (number | short)).select("token", ends.alias("ends"))
+    goes_on = F.contains("token", F.lit(".")) | (20 * F.col("small") >= F.col("period")) | (20 * (F.col("starts") + F.col("final")) <= F.col("period"))
+    return total.where((F.col("period") > 0) & (number | short & goes_on)).select("token", ends.alias("ends"))
 
 
 def _tables(rows: list) -> Evidence:

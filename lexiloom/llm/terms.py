@@ -73,7 +73,7 @@ def counted(keyed: DataFrame) -> DataFrame:
     Rows of one term, record and key count once (a null key never repeats another); a null record counts in the total
     alone. Sums of bigint; an empty table gives no rows.
     """
-    ordered = keyed.repartitionByRange(tasks(keyed.sparkSession), "n", "term", "record", "key").sortWithinPartitions("n", "term", "record", "key")
+    ordered = keyed.repartitionByRange(tasks(keyed.sparkSession), "n", "term", "record").sortWithinPartitions("n", "term", "record", "key")
     parts = ordered.mapInArrow(_intervals, "n int, term string, total bigint, records bigint")
     return parts.groupBy("n", "term").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 
