@@ -284,7 +284,7 @@ class Splitter:
         text, run, i = self.text, m[0], m.start()
         if all(c in GREEK_QUESTION for c in run):
             return _greek(text, i)
-        if i == words:  # nothing to close yet
+        if i <= words:  # nothing to close yet, or the list sign's own period
             return False
         near = text[end : end + 1] if end < b else ""
         if any(c in STRONG for c in run):

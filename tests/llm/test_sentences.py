@@ -38,6 +38,7 @@ def units(text, ev=EV):
         ["Intro here:\n", "1. first one\n", "2. second. ", "Part two\n", "3) third"],
         ["Text\nwraps. ", "Es geht im\n22. Kapitel weiter."],
         ["• one\n", "- two\n", "* three"],
+        ["1. First one\n", "2. Second one. ", "More.\n", "3. Third"],
         ["Of 8 @.@ 7 % and 1 @,@ 000 . ", "Next ?"],
         ["just a line\n", "and another :)\n", "last"],
     ],
