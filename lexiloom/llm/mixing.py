@@ -32,6 +32,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Block numbers have at most so many bits, a block at most about so many documents, a shard at least so many blocks.
 MAX_BITS, BLOCK_DOCS, SHARD_BLOCKS = 20, 64, 16
+#: Rows of the targets that are sent to every task; more of them are joined by a shuffle.
+MAX_SIDE = 50_000
 
 
 def _sizes(ranks: Broadcast):
@@ -65,6 +67,12 @@ def _targets(targets: DataFrame) -> DataFrame:
     return own.withColumn("target_share", F.col("weight") / F.sum("weight").over(W.partitionBy("mix_id")))
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """``df`` as the broadcast side of a join by source if it is small (counted), else as it is: a source may hold a
+    third of all documents, which a shuffle by source would bring together."""
+    return F.broadcast(df) if df.limit(MAX_SIDE + 1).count() <= MAX_SIDE else df
+
+
 def _place(seed: int) -> Column:
     """63 random bits of a document in a mix: its place in the order of its source."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "doc_id"), 1)
@@ -103,7 +111,7 @@ class Mix:
     def placed(self) -> DataFrame:
         """(mix_id, source, doc_id, tokens, place, block, passes, rest): each document in each mix that may use it."""
         q = self.quotas.where(F.col("quota") > 0).select("mix_id", "source", "passes", "rest", "bits")
-        rows = self.sizes.join(q, "source").withColumn("place", _place(self.seed))
+        rows = self.sizes.join(_side(q), "source").withColumn("place", _place(self.seed))
         return rows.withColumn("block", F.expr("shiftright(place, 63 - bits)")).drop("bits")
 
     def copies(self) -> DataFrame:
@@ -196,4 +204,4 @@ def _leaves(seed: int):
 def mix(docs: DataFrame, targets: DataFrame, ranks: str = RANKS, **options) -> Mix:
     """The mixture of ``docs`` (doc_id, source, text) for the rows of ``targets``."""
     wanted = targets.where(F.col("source").isNotNull()).select("source").distinct()
-    return Mix(token_sizes(docs.select("doc_id", "source", "text").join(wanted, "source", "left_semi"), ranks), targets, **options)
+    return Mix(token_sizes(docs.select("doc_id", "source", "text").join(_side(wanted), "source", "left_semi"), ranks), targets, **options)
