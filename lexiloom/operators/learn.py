@@ -12,6 +12,7 @@ the steps and results are the same.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -188,6 +189,31 @@ def learn_distributed(types: DataFrame, learner: Learner) -> Model:
     return Model(learner, steps.merges, steps.vocab, splits)
 
 
+class _Heap:
+    """The best pair without a look at all: each pair whose score may have changed is pushed again, and an entry counts
+    only while its score is the pair's own."""
+
+    def __init__(self, steps: _Steps, pairs: dict, symbols: dict) -> None:
+        self.steps, self.pairs, self.symbols, self.entries = steps, pairs, symbols, []
+
+    def _score(self, p: tuple[str, str]) -> float | None:
+        n = self.pairs.get(p, 0)
+        if n < (self.steps.learner.min_pair_freq if self.steps.learner.kind == "wordpiece" else 1) or p in self.steps.skipped:
+            return None
+        return self.steps.score(n, self.symbols.get(p[0], 1), self.symbols.get(p[1], 1))
+
+    def best(self, changed: set) -> tuple[str, str] | None:
+        for p in changed:
+            if (score := self._score(p)) is not None:
+                heapq.heappush(self.entries, (-score, p))
+        while self.entries:
+            score, p = self.entries[0]
+            if self._score(p) == -score:
+                return p
+            heapq.heappop(self.entries)
+        return None
+
+
 def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps, list[list[str]]]:
     """The same loop over (word, freq) in corpus order within one process, with an index from pairs to words."""
     if learner.kind == "wordpiece":
@@ -198,6 +224,8 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
     pairs: dict = defaultdict(int)
     symbols: dict = defaultdict(int)
     where: dict = defaultdict(set)
+    beside: dict = defaultdict(set)
+    touched: set = set()
 
     def add(k: int, sign: int) -> None:
         s, n = split[k], sign * words[k][1]
@@ -205,8 +233,11 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
             symbols[t] += n
         for p in zip(s, s[1:]):
             pairs[p] += n
+            touched.add(p)
             if sign > 0:
                 where[p].add(k)
+                beside[p[0]].add(p)
+                beside[p[1]].add(p)
             elif pairs[p] == 0:
                 del pairs[p]
 
@@ -220,8 +251,14 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
 
     for k in range(len(split)):
         add(k, 1)
+    heap = _Heap(steps, pairs, symbols)
     while steps.open():
-        if not (best := steps.best(pairs, symbols, places() if learner.tie != "lex" else None)):
+        if learner.tie == "lex":
+            best = heap.best(touched)
+            touched.clear()
+        else:
+            best = steps.best(pairs, symbols, places())
+        if not best:
             break
         a, b = best
         if (merged := steps.take(a, b)) is None:
@@ -240,6 +277,8 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
                     i += 1
             split[k] = new
             add(k, 1)
+        if learner.kind == "wordpiece":  # only these three symbols have another frequency now
+            touched.update(*(beside[t] for t in (a, b, merged)))
     return steps, split
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from itertools import product
+from itertools import groupby, product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +13,7 @@ from lexiloom.operators import metrics as M
 from lexiloom.operators.learn import Learner, Model, fast_bpe, fast_wordpiece, learn, learn_distributed, wordpiece
 from lexiloom.operators.segment import Tokenizer, trie_match
 from lexiloom.operators.words import corpus_stats, first_tokens, rarest_words, top_words, word_freq, word_types
+from lexiloom.plans import store
 from lexiloom.plans.lineage import one_row
 
 # The evaluation grid.
@@ -58,6 +59,24 @@ def evaluate(tokenizer: Tokenizer, gold: DataFrame, ranked: DataFrame, rare: Dat
     return row.select("type", "train_data", "vocab_size", "min_pair_freq", "against_gold", "on_freq_words", F.col("rare.avg_fertility").alias("on_rare_words"), "avg_fert_per_wt")
 
 
+def run_matrix(spark: SparkSession, corpus, use, models: str | None = None, runs: DataFrame | None = None) -> None:
+    """Trains the tokenizer of each run of the grid and hands it to ``use`` (tokenizer, documents, configuration).
+
+    ``corpus`` gives the documents (doc_id, text) of a training set's name; models are saved below ``models``. A training
+    set's words are counted once for all its runs.
+    """
+    rows = sorted((r.asDict() for r in (runs if runs is not None else experiment_matrix(spark)).collect()), key=lambda r: r["train_data"])
+    for data, group in groupby(rows, key=lambda r: r["train_data"]):
+        docs = corpus(data)
+        types = word_types(docs).cache()
+        for config in group:
+            model = learn(types, learner_for(config["type"], config["vocab_size"], config["min_pair_freq"]))
+            if models:
+                store.save(model, spark, store.place(models, config["type"], data, config["vocab_size"], config["min_pair_freq"]))
+            use(tokenizer_of(model, config["type"]), docs, config)
+        types.unpersist()
+
+
 def compare(a: Tokenizer, b: Tokenizer, words: DataFrame) -> DataFrame:
     """The agreement of two tokenizers over words (word)."""
     return M.agreement(a.surfaces(words), b.surfaces(words))

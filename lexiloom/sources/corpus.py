@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import stripped
+from lexiloom.functions.text import SPACE, stripped
 
 # ---- sources
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_id, text) of text files; ids grow in file order but are not consecutive."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("text"))
+    """(line_id, text) of text files, without white space at the lines' ends; ids grow in file order, with gaps."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.regexp_replace("value", rf"{SPACE}+$", "").alias("text"))
 
 
 def corpus_lines(lines: DataFrame, order: str, max_lines: int | None = None, min_length: int = 10, drop_headings: bool = False) -> DataFrame:
