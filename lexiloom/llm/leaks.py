@@ -4,7 +4,7 @@ Texts are read as sequences of words, so line ends and punctuation don't matter.
 words of the held-out items. As in Wu and Manber, a window slides over the text: the block of its last ``BLOCK`` words
 is looked up in a shift table; a block that no pattern has moves the window on by nearly its length, one that stands
 inside patterns only as far as the nearest could match. A shift of zero opens the bucket of the patterns that end with
-this block; their first words, then all words are compared. The held-out items are the query set: they are taken in
+this block, and all their words are compared with the window. The held-out items are the query set: they are taken in
 blocks of bounded size, each a broadcast and one pass over the corpus; nothing of the corpus is shuffled.
 """
 
@@ -49,9 +49,8 @@ class Patterns:
             if step := shift(tail, far):
                 end += step
                 continue
-            bucket = self.buckets[tail]
-            first = words[end - run]
-            if (items := bucket.get(tuple(words[end - run : end]))) and first:
+            # a bucket finds its patterns by their hash and compares all their words
+            if items := self.buckets.get(tail, {}).get(tuple(words[end - run : end])):
                 hits |= items
             end += 1
         return hits
