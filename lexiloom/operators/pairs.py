@@ -30,3 +30,10 @@ def pair_scores(splits: DataFrame, min_pair_freq: int = 1) -> DataFrame:
     left, right = (f.select(F.col("tok").alias(c), F.col("f").alias(f"f{c}")) for c in ("a", "b"))
     score = F.col("n").cast("double") / (F.col("fa").cast("double") * F.col("fb").cast("double"))
     return kept.join(left, "a").join(right, "b").select("a", "b", "n", score.alias("score"))
+
+
+def pair_score(splits: DataFrame, a: str, b: str, min_pair_freq: int = 1) -> DataFrame:
+    """One row: the score of one pair, 0.0 if it is missing or below the threshold. Only splits with either token count."""
+    near = splits.where(F.contains("sp", F.lit(f"|{a}|")) | F.contains("sp", F.lit(f"|{b}|")))
+    found = pair_scores(near, min_pair_freq).where((F.col("a") == a) & (F.col("b") == b))
+    return found.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))

@@ -115,6 +115,7 @@ def test_scores_tie_and_threshold(spark, rows):
     s = spark.createDataFrame([("|a||##b|", 2), ("|a||##c|", 1)], "sp string, freq bigint")
     assert rows(P.pair_scores(s)) == [("a", "##b", 2, 1 / 3), ("a", "##c", 1, 1 / 3)]
     assert rows(P.pair_scores(s, 2)) == [("a", "##b", 2, 1 / 3)]
+    assert rows(P.pair_score(s, "a", "##c")) == [(1 / 3,)] and rows(P.pair_score(s, "a", "##c", 2)) == [(0.0,)] and rows(P.pair_score(s, "x", "y")) == [(0.0,)]
 
 
 def test_learner_race(spark):
