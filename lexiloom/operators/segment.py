@@ -80,34 +80,43 @@ def longest_match(distinct: DataFrame, vocab: DataFrame, kind: str = "bpe", end_
     small = vocab.select("token").where(F.col("token").isNotNull() & (F.col("token") != "")).distinct()
     if kind == "wordpiece":
         small = small.where(~F.col("token").rlike(r"^\[.*\]$"))
-    rows, longest = small.agg(F.count("*"), F.coalesce(F.max(F.length("token")), F.lit(0))).first()
+    text = F.regexp_replace("token", f"^{T.CONT}", "") if kind == "wordpiece" else F.col("token")
+    rows, longest = small.agg(F.count("*"), F.coalesce(F.max(F.length(text)), F.lit(0))).first()
     whole = F.lower("word") if kind == "wordpiece" else F.concat("word", F.lit(end_marker or ""))
-    base = distinct.select("word").where(F.col("word").isNotNull()).distinct().select("word", whole.alias("w"))
-    at = base.where(F.length("w") > 0).select("word", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
-    room = F.least(F.lit(max(longest, 1)), F.length("w") - F.col("i") + 1)
-    cut = at.select("word", "i", "w", F.explode(F.sequence(F.lit(1), room)).alias("n"))
+    base = distinct.select("word").where(F.col("word").isNotNull()).distinct()
+    # partitioned by word once: the explodes, the broadcast join and the groups keep it so
+    places = F.when(F.length("w") > 0, F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1))))
+    at = base.withColumn("w", whole).select("word", "w", F.explode_outer(places).alias("i"))
+    room = F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), F.length("w") - F.col("i") + 1), F.lit(1)))
+    cut = at.select("word", "i", "w", F.explode_outer(room).alias("n"))
     sub = F.expr("substring(w, i, n)")
-    token = F.when((F.col("i") > 1), F.concat(F.lit(T.CONT), sub)).otherwise(sub) if kind == "wordpiece" else sub
+    token = F.when(F.col("i") > 1, F.concat(F.lit(T.CONT), sub)).otherwise(sub) if kind == "wordpiece" else sub
     side = F.broadcast(small) if rows <= MAX_BROADCAST else small
-    best = cut.select("word", "i", "n", token.alias("token")).join(side, "token").groupBy("word", "i").agg(F.max("n").alias("n"))
-    steps = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("best"))
-
-    def step(acc: Column, i: Column) -> Column:
-        n = F.coalesce(acc.best[i], F.lit(0))
-        piece = acc.w.substr(i, F.greatest(n, F.lit(1)))
+    found = cut.select("word", "i", "n", token.alias("t")).join(side, F.col("t") == F.col("token"), "left")
+    matches = found.groupBy("word").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("i", "n"))).alias("m")).withColumn("w", whole)
+    at_each = F.when(F.length("w") > 0, F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    best = F.transform(at_each, lambda i: F.coalesce(F.array_max(F.transform(F.filter("m", lambda x: x.i == i), lambda x: x.n)), F.lit(0)))
+    matches = matches.select("word", "w", best.alias("best"))
+
+    def step(acc: Column, n: Column) -> Column:
+        piece = acc.w.substr(acc.i, F.greatest(n, F.lit(1)))
         if kind == "wordpiece":
-            piece = F.when(i > 1, F.concat(F.lit(T.CONT), piece)).otherwise(piece)
+            piece = F.when(acc.i > 1, F.concat(F.lit(T.CONT), piece)).otherwise(piece)
         else:
             piece = F.when(n == 0, T.UNK).otherwise(piece)
-        moved = F.struct((i + F.greatest(n, F.lit(1))).alias("p"), F.concat(acc.out, F.array(piece)).alias("out"), (acc.ok & (n > 0)).alias("ok"), acc.best.alias("best"), acc.w.alias("w"))
-        return F.when(i == acc.p, moved).otherwise(acc)
-
-    empty = F.create_map().cast("map<int,int>")
-    start = F.struct(F.lit(1).alias("p"), F.array().cast("array<string>").alias("out"), F.lit(True).alias("ok"), F.coalesce("best", empty).alias("best"), F.col("w").alias("w"))
-    places = F.when(F.length("w") > 0, F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    done = F.aggregate(places, start, step)
+        here = acc.i == acc.p
+        return F.struct(
+            (acc.i + 1).alias("i"),
+            F.when(here, acc.i + F.greatest(n, F.lit(1))).otherwise(acc.p).alias("p"),
+            F.when(here, F.concat(acc.out, F.array(piece))).otherwise(acc.out).alias("out"),
+            F.when(here & (n == 0), False).otherwise(acc.ok).alias("ok"),
+            acc.w.alias("w"),
+        )
+
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("p"), F.array().cast("array<string>").alias("out"), F.lit(True).alias("ok"), F.col("w").alias("w"))
+    done = matches.select("word", F.aggregate("best", start, step).alias("d"))
     pieces = F.when(F.col("d.ok"), F.col("d.out")).otherwise(F.array(F.lit(T.WP_UNK))) if kind == "wordpiece" else F.col("d.out")
-    return base.join(steps, "word", "left").select("word", done.alias("d")).select("word", pieces.alias("pieces"))
+    return done.select("word", pieces.alias("pieces"))
 
 
 class Trie:
