@@ -26,14 +26,31 @@ wins AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM items, unne
 grams AS (SELECT book_id, array_to_string(w[i:i + 11], ' ') AS g FROM books, unnest(range(1, len(w) - 10)) AS t(i)),
 pairs AS (SELECT DISTINCT item_id, book_id FROM wins JOIN grams USING (g))"""
 
+#: (eval_split, eval_id, train_id): pairs that share enough words, then the word edit distance row by row. The next
+#: row's entry j is j plus the smallest t(k) - k up to j, where t(k) comes from above or by a change.
+OVERLAPS = r"""evals AS (SELECT DISTINCT 'valid' AS eval_split, row_id, text FROM wiki_valid UNION SELECT DISTINCT 'test', row_id, text FROM wiki_test),
+ev AS MATERIALIZED (SELECT * FROM (SELECT eval_split, row_id AS eval_id, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS a FROM evals) WHERE len(a) >= 10),
+tr AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT row_id AS train_id, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS b FROM wiki_train) WHERE len(b) >= 10),
+ebag AS (SELECT eval_split, eval_id, len(a) AS n, word, count(*) AS c FROM (SELECT *, unnest(a) AS word FROM ev) GROUP BY ALL),
+tbag AS (SELECT train_id, len(b) AS n, word, count(*) AS c FROM (SELECT *, unnest(b) AS word FROM tr) GROUP BY ALL),
+cand AS MATERIALIZED (SELECT eval_split, eval_id, train_id FROM ebag e JOIN tbag t USING (word)
+  GROUP BY eval_split, eval_id, train_id, e.n, t.n HAVING 100 * sum(least(e.c, t.c)) >= 85 * greatest(e.n, t.n)),
+dp AS (SELECT eval_split, eval_id, train_id, a, b, 0 AS i, range(0, len(b) + 1) AS d FROM cand JOIN ev USING (eval_split, eval_id) JOIN tr USING (train_id)
+  UNION ALL SELECT eval_split, eval_id, train_id, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: j + list_min(t[1:j + 1]))
+  FROM (SELECT *, list_transform(range(0, len(b) + 1), lambda k: CASE WHEN k = 0 THEN i + 1 ELSE least(d[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END, d[k + 1] + 1) - k END) AS t FROM dp WHERE i < len(a))),
+near AS (SELECT eval_split, eval_id, train_id FROM dp WHERE i = len(a) AND 100 * d[len(b) + 1] <= 15 * greatest(len(a), len(b)))"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {LINES} SELECT book_id, line_no::BIGINT AS line_no FROM marked",
+        "p1_cleaned": f"WITH {LINES} SELECT book_id, CASE WHEN source IS NULL OR text IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(coalesce(drops, []), i - 1)), lambda i: string_split(text, chr(10))[i]), chr(10)) END AS text FROM books LEFT JOIN (SELECT book_id, list(line_no) AS drops FROM marked GROUP BY book_id) USING (book_id)",
         "p2_found": f"WITH {TERMS} SELECT term AS word, 'rare' AS mark FROM marks WHERE rare UNION ALL SELECT term, 'common' FROM marks WHERE common",
         "p2_terms": f"WITH {TERMS} SELECT term, total, records, rare, common FROM marks",
         "p3_found": f"WITH {TERMS} SELECT term AS word FROM terms WHERE total * 500 >= (SELECT sum(total) FROM terms)",
         "p3_heavy": f"WITH {TERMS} SELECT term, total FROM terms WHERE total * 500 >= (SELECT sum(total) FROM terms)",
+        "p4_found": f"WITH RECURSIVE {OVERLAPS} SELECT eval_split, eval_id, train_id FROM near",
+        "p4_report": f"WITH RECURSIVE {OVERLAPS} SELECT eval_split, source, count(*) AS pairs, count(DISTINCT eval_id) AS eval_rows, count(DISTINCT train_id) AS train_rows FROM near JOIN (SELECT DISTINCT 'valid' AS eval_split, row_id AS eval_id, source FROM wiki_valid UNION SELECT DISTINCT 'test', row_id, source FROM wiki_test) USING (eval_split, eval_id) GROUP BY eval_split, source",
         "p5_found": f"WITH {LEAKS} SELECT item_id, book_id FROM pairs",
         "p5_report": f"WITH {LEAKS} SELECT set_name, count(DISTINCT item_id) AS items, count(DISTINCT book_id) AS books FROM pairs JOIN (SELECT DISTINCT item_id, set_name FROM guten_test) USING (item_id) GROUP BY set_name",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

@@ -58,13 +58,15 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (n[-1], term[-1].as_py(), (record[-1], no_record[-1]), (key[-1], no_key[-1]))
 
 
-def suffixes(df: DataFrame, tokens: Column, record: Column, key: Column, weight: Column, max_n: int) -> DataFrame:
-    """(n, term, record, key, weight): for each position of ``tokens`` its suffix cut to n = 1..max_n tokens."""
-    # the position stands in the key: a token that returns within a row is another occurrence
-    at = df.select(tokens.alias("t"), record.cast("bigint").alias("record"), key.cast("bigint").alias("row"), weight.cast("bigint").alias("weight"))
-    at = at.select("record", "row", "weight", F.posexplode(F.transform("t", lambda _, i: F.slice("t", i + 1, max_n))).alias("p", "s"))
-    at = at.select("record", F.when(F.col("row").isNotNull(), F.xxhash64("row", "p")).alias("key"), "weight", F.explode(F.transform("s", lambda _, i: F.struct((i + 1).alias("n"), F.array_join(F.slice("s", F.lit(1), i + 1), GAP).alias("term")))).alias("g"))
-    return at.select("g.n", "g.term", "record", "key", "weight")
+def suffixes(df: DataFrame, tokens: Column, record: Column, max_n: int) -> DataFrame:
+    """(n, term, record, key, weight): for each position of ``tokens`` its suffix cut to n = 1..max_n tokens.
+
+    The key is null: each place is an occurrence of its own, also of an n-gram that returns within a record.
+    """
+    at = df.select(tokens.alias("t"), record.cast("bigint").alias("record"))
+    at = at.select("record", F.explode(F.transform("t", lambda _, i: F.slice("t", i + 1, max_n))).alias("s"))
+    grams = F.transform("s", lambda _, i: F.struct((i + 1).alias("n"), F.array_join(F.slice("s", F.lit(1), i + 1), GAP).alias("term")))
+    return at.select("record", F.explode(grams).alias("g")).select("g.n", "g.term", "record", F.lit(None).cast("bigint").alias("key"), F.lit(1).cast("bigint").alias("weight"))
 
 
 def counted(keyed: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def term_counts(df: DataFrame) -> DataFrame:
 def ngram_counts(df: DataFrame, tokens: str, record: str, max_n: int = 3) -> DataFrame:
     """(n, term, total, records) of all n-grams up to ``max_n`` of an array column; null arrays and tokens have none."""
     t = F.filter(tokens, lambda x: x.isNotNull())
-    return counted(suffixes(df, t, F.col(record), F.monotonically_increasing_id(), F.lit(1), max_n))
+    return counted(suffixes(df, t, F.col(record), max_n))
 
 
 def marked_terms(df: DataFrame, rare_total: int = 5, rare_records: int = 1, common_share: float = 0.3) -> DataFrame:
