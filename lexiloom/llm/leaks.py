@@ -107,6 +107,12 @@ def found(books: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def report(books: DataFrame, items: DataFrame) -> DataFrame:
+    """(book_id, n_items, items): each book that holds a leaked passage, with the ids of its items in order."""
+    hits = F.array_sort(F.collect_set("item_id"))
+    return found(books, items).groupBy("book_id").agg(hits.alias("items")).select("book_id", F.size("items").alias("n_items"), "items")
+
+
+def by_set(books: DataFrame, items: DataFrame) -> DataFrame:
     """(set_name, items, books): how many items of each held-out set leaked, into how many books; a null set is one."""
     sets = items.select("item_id", "set_name").distinct()
     return found(books, items).join(sets, "item_id").groupBy("set_name").agg(F.count_distinct("item_id").alias("items"), F.count_distinct("book_id").alias("books"))

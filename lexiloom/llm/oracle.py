@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexiloom.llm.mixing import RANKS
+
 #: The rows of word_freqs that count, each once.
 TERMS = """rows AS (SELECT DISTINCT row_id, chunk_id, lower(trim(word, ' ' || chr(9))) AS term, freq FROM word_freqs
   WHERE trim(word, ' ' || chr(9)) <> '' AND freq > 0),
@@ -40,6 +42,21 @@ dp AS (SELECT eval_split, eval_id, train_id, a, b, 0 AS i, range(0, len(b) + 1)
   FROM (SELECT *, list_transform(range(0, len(b) + 1), lambda k: CASE WHEN k = 0 THEN i + 1 ELSE least(d[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END, d[k + 1] + 1) - k END) AS t FROM dp WHERE i < len(a))),
 near AS (SELECT eval_split, eval_id, train_id FROM dp WHERE i = len(a) AND 100 * d[len(b) + 1] <= 15 * greatest(len(a), len(b)))"""
 
+# Fixed value: white space as the tokenizer has it.
+SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: (doc_id, ids): pieces are hex strings, and the pair whose bytes together rank first is merged, from the left. A mark
+#: before the last white space of a run stands in for the pattern's look-ahead.
+IDS = rf"""ranks AS MATERIALIZED (SELECT hex(from_base64(b)) AS h, id FROM read_csv('{RANKS}', delim = ' ', header = false, quote = '', escape = '', columns = {{'b': 'VARCHAR', 'id': 'INTEGER'}})),
+parts AS (SELECT doc_id, string_split(regexp_replace(text, '([{SPACE}]+)([{SPACE}][^{SPACE}])', '\1' || chr(57344) || '\2', 'g'), chr(57344)) AS p FROM documents WHERE text <> ''),
+pieces AS (SELECT doc_id, i, regexp_extract_all(p[i], '''s|''t|''re|''ve|''m|''ll|''d| ?\pL+| ?\pN+| ?[^{SPACE}\pL\pN]+|[{SPACE}]+') AS w FROM parts, unnest(range(1, len(p) + 1)) AS t(i)),
+tok AS MATERIALIZED (SELECT doc_id, i, j, w[j] AS w FROM pieces, unnest(range(1, len(w) + 1)) AS t(j)),
+bpe AS (SELECT w, list_transform(range(0, len(x) // 2), lambda k: x[2 * k + 1:2 * k + 2]) AS t FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM tok))
+  UNION ALL SELECT w, t[1:best.i - 1] || [t[best.i] || t[best.i + 1]] || t[best.i + 2:] FROM
+  (SELECT w, t, min(struct_pack(id := id, i := i)) AS best FROM bpe, unnest(range(1, len(t))) AS u(i) JOIN ranks ON h = t[i] || t[i + 1] GROUP BY w, t)),
+final AS (SELECT w, arg_min(t, len(t)) AS t FROM bpe GROUP BY w),
+done AS MATERIALIZED (SELECT w, list(id ORDER BY k) AS ids FROM (SELECT w, k, t[k] AS h FROM final, unnest(range(1, len(t) + 1)) AS u(k)) JOIN ranks USING (h) GROUP BY w),
+docs AS (SELECT doc_id, flatten(list(ids ORDER BY i, j)) AS ids FROM tok JOIN done USING (w) GROUP BY doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -52,6 +69,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"WITH RECURSIVE {OVERLAPS} SELECT eval_split, eval_id, train_id FROM near",
         "p4_report": f"WITH RECURSIVE {OVERLAPS} SELECT eval_split, source, count(*) AS pairs, count(DISTINCT eval_id) AS eval_rows, count(DISTINCT train_id) AS train_rows FROM near JOIN (SELECT DISTINCT 'valid' AS eval_split, row_id AS eval_id, source FROM wiki_valid UNION SELECT DISTINCT 'test', row_id, source FROM wiki_test) USING (eval_split, eval_id) GROUP BY eval_split, source",
         "p5_found": f"WITH {LEAKS} SELECT item_id, book_id FROM pairs",
-        "p5_report": f"WITH {LEAKS} SELECT set_name, count(DISTINCT item_id) AS items, count(DISTINCT book_id) AS books FROM pairs JOIN (SELECT DISTINCT item_id, set_name FROM guten_test) USING (item_id) GROUP BY set_name",
+        "p5_report": f"WITH {LEAKS} SELECT book_id, count(*)::INTEGER AS n_items, list(item_id ORDER BY item_id) AS items FROM pairs GROUP BY book_id",
+        "p6_ids": f"WITH RECURSIVE {IDS} SELECT doc_id, coalesce(ids, []::INTEGER[]) AS ids FROM (SELECT doc_id FROM documents) LEFT JOIN docs USING (doc_id)",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
