@@ -12,7 +12,7 @@ from lexiloom.functions.text import SPACE, stripped
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_id, text) of text files, without white space at the lines' ends; ids grow in file order, with gaps."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.regexp_replace("value", rf"{SPACE}+$", "").alias("text"))
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.rtrim("value", F.lit(SPACE)).alias("text"))
 
 
 def corpus_lines(lines: DataFrame, order: str, max_lines: int | None = None, min_length: int = 10, drop_headings: bool = False) -> DataFrame:
