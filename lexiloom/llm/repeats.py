@@ -15,15 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import stripped
 from lexiloom.plans.lineage import cut
 
-#: Any white space at either end.
-OUTER = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
-
-
 def source_key(source: Column | str) -> Column:
     """A source trimmed and in lower case; a blank one is null."""
-    key = F.lower(F.regexp_replace(source, OUTER, ""))
+    key = F.lower(stripped(source))
     return F.when(key != "", key)
 
 
@@ -41,7 +38,7 @@ def lines(books: DataFrame, min_chars: int = 10) -> DataFrame:
     # a text of the same book that stands in several rows is several rows here; all counts are of distinct documents
     at = books.select(source_key("source").alias("source"), F.col("book_id").cast("bigint").alias("book_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     at = at.where(F.col("source").isNotNull() & F.col("book_id").isNotNull() & (F.length("raw") >= min_chars))
-    at = at.select("source", "book_id", "line_no", F.length(F.regexp_replace("raw", OUTER, "")).alias("n"), F.lower(F.regexp_replace("raw", r"[^\p{L}]+", "")).alias("letters"))
+    at = at.select("source", "book_id", "line_no", F.length(stripped("raw")).alias("n"), F.lower(F.regexp_replace("raw", r"[^\p{L}]+", "")).alias("letters"))
     return at.where((F.col("n") >= min_chars) & (F.col("letters") != "")).select("source", "book_id", "line_no", _id("letters").alias("line"))
 
 
