@@ -2,7 +2,8 @@
 
 A text is parted into words by the tokenizer's pattern. A word is the array of the ids of its bytes; a fold merges, as
 often as there are bytes, the pair whose merge ranks first, keeping the ranks of all adjacent pairs beside the ids, so a
-step looks up only the two new pairs. The rank map is one literal: the value of a one-row scalar subquery, an array of
+step looks up only the two new pairs. Long words, as of scripts without spaces, are parted first where the two bytes
+stand side by side in no piece of the vocabulary: no merge can cross such a place. The rank map is one literal: the value of a one-row scalar subquery, an array of
 small maps addressed by the pair's key, because a Spark map is searched from end to end. The most frequent distinct
 words of the corpus are folded once and put into a second literal of bounded size (at most ``cached`` words of at most
 ``CACHED_CHARS`` characters); all other words are folded where they stand. So the texts are never shuffled, no word is
@@ -27,6 +28,8 @@ NONE = 2**31 - 1
 #: Buckets of the rank literal and of the word literal; primes near a power of two.
 RANK_BUCKETS, WORD_BUCKETS = 16381, 65521
 CACHED_CHARS = 32
+#: Words of more bytes are parted before they are folded.
+LONG = 16
 
 
 def alphabet() -> list[str]:
@@ -60,6 +63,14 @@ class Vocabulary:
             buckets[key % RANK_BUCKETS][key] = m
         return spark.createDataFrame([([buckets.get(i, {}) for i in range(RANK_BUCKETS)],)], "ranks array<map<bigint,int>>").scalar()
 
+    def inner(self, spark: SparkSession) -> Column:
+        """array<boolean> by 256 * x + y: whether the bytes x, y stand side by side in a piece."""
+        pairs = {256 * x + y for p in self.pieces.values() for x, y in zip(p, p[1:])}
+        return spark.createDataFrame([([i in pairs for i in range(65536)],)], "inner array<boolean>").scalar()
+
+    def tables(self, spark: SparkSession) -> dict[str, Column]:
+        return {"ranks": self.ranks(spark), "inner": self.inner(spark), "bytes": F.lit(self.byte_ids)}
+
 
 def words(text: Column | str) -> Column:
     """The pattern's words, which together are the text; null for a null text."""
@@ -87,10 +98,9 @@ def _with(df: DataFrame, values: dict[str, Column], name: str, body) -> DataFram
     return df.select(*kept, F.struct(*[v.alias(k) for k, v in values.items()]).alias(held)).select(*kept, _let(F.col(f"`{held}`"), body).alias(name))
 
 
-def _fold(word: Column, byte_ids: Column, table: Column) -> Column:
-    """The ids of one word; -1 stands at both ends, so each pair has neighbours."""
-    edge = F.array(F.lit(-1))
-    raw = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
+def _fold(word: Column, tables: Column) -> Column:
+    """The ids of one word; -1 stands at both ends of what is folded, so each pair has neighbours."""
+    table, edge = tables.ranks, F.array(F.lit(-1))
 
     def start(ids: Column) -> Column:
         ranks = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: _rank(table, a, F.coalesce(b, F.lit(-1))))
@@ -112,7 +122,18 @@ def _fold(word: Column, byte_ids: Column, table: Column) -> Column:
         times = F.sequence(F.lit(1), F.greatest(F.size(ids) - 3, F.lit(1)))
         return F.aggregate(times, start(ids), step, lambda acc: F.slice(acc.ids, F.lit(2), F.size(acc.ids) - 2))
 
-    return _let(F.concat(edge, raw, edge), run)
+    def fold(raw: Column) -> Column:
+        ids = F.transform(raw, lambda b: F.get(tables.bytes, b))
+        return F.when(F.size(raw) == 1, ids).otherwise(_let(F.concat(edge, ids, edge), run))
+
+    def parted(raw: Column) -> Column:
+        n = F.size(raw)
+        places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: ~F.get(tables.inner, F.get(raw, i - 1) * 256 + F.get(raw, i)))
+        bounds = _let(F.concat(F.array(F.lit(0)), places, F.array(n)), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, z: F.slice(raw, a + 1, z - a)))
+        return F.flatten(F.transform(bounds, fold))
+
+    raw = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
+    return _let(raw, lambda r: F.when(F.size(r) > LONG, parted(r)).otherwise(fold(r)))
 
 
 def _bucket(word: Column) -> Column:
@@ -126,7 +147,7 @@ def _cache(docs: DataFrame, text: str, vocabulary: Vocabulary, cached: int) -> C
     top = counts.orderBy(F.desc("count"), "w").limit(cached).select("w")
     # the limit leaves one partition; the folds shall not run in one task
     top = top.repartition(spark.sparkContext.defaultParallelism, "w")
-    folded = _with(top, {"ranks": vocabulary.ranks(spark), "bytes": F.lit(vocabulary.byte_ids), "w": F.col("w")}, "ids", lambda t: _fold(t.w, t.bytes, t.ranks))
+    folded = _with(top, vocabulary.tables(spark) | {"w": F.col("w")}, "ids", lambda t: _fold(t.w, t))
     buckets = folded.groupBy(_bucket(F.col("w")).alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("e"))
     every = spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("b")).join(buckets, "b", "left")
     rows = F.array_sort(F.collect_list(F.struct("b", F.coalesce("e", F.array()).alias("e"))))
@@ -140,8 +161,8 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: Vocabulary | None =
     All rows and columns stay.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or Vocabulary()
-    tables = {"ranks": vocabulary.ranks(spark), "bytes": F.lit(vocabulary.byte_ids), "known": _cache(docs, text, vocabulary, cached), "parts": words(F.coalesce(text, F.lit("")))}
-    return _with(docs, tables, name, lambda t: F.flatten(F.transform(t.parts, lambda w: F.coalesce(F.get(t.known, _bucket(w))[w], _fold(w, t.bytes, t.ranks)))))
+    values = vocabulary.tables(spark) | {"known": _cache(docs, text, vocabulary, cached), "parts": words(F.coalesce(text, F.lit("")))}
+    return _with(docs, values, name, lambda t: F.flatten(F.transform(t.parts, lambda w: F.coalesce(F.get(t.known, _bucket(w))[w], _fold(w, t)))))
 
 
 def decode(df: DataFrame, ids: str = "ids", vocabulary: Vocabulary | None = None, name: str = "text") -> DataFrame:

@@ -55,3 +55,8 @@ def test_empty_table_and_repeated_rows(spark, rows):
 def test_a_very_long_text(spark):
     text = "the cat sat on the mat, and went. " * 20_000
     assert by_id(E.encoded(docs(spark, [text])), "ids") == expected([text])
+
+
+def test_a_very_long_word_without_spaces(spark):
+    text = "文字列の中には空白がなくとても長い" * 3_000
+    assert by_id(E.encoded(docs(spark, [text])), "ids") == expected([text])
