@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-# White space as the tokenizer has it, its pattern, and the bytes that its alphabet writes as themselves.
+# White space as the tokenizer has it, its pattern (letters first, as no other branch begins with them, and
+# without ways back), and the bytes that its alphabet writes as themselves.
 SPACE = r"\t-\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PLAIN_BYTES = ((33, 126), (161, 172), (174, 255))
 #: No merge.
 NONE = 2**31 - 1
