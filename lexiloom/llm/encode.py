@@ -30,7 +30,7 @@ NONE = 2**31 - 1
 RANK_BUCKETS, WORD_BUCKETS = 16381, 65521
 CACHED_CHARS = 32
 #: Words of more bytes are parted before they are folded.
-LONG = 16
+LONG = 40
 
 
 def alphabet() -> list[str]:
