@@ -57,10 +57,11 @@ _SHORT = re.compile(r"(?<![\w.])[^\W\d_]{1,6}(?![\w.])")
 _PERIOD = re.compile(r"(?<=[^\W_])\.(?![.\w])")
 _OPEN = "“„«\"(¿¡ \n\r\t\xa0"
 _BEFORE_NUMBER = re.compile(r"([^\W\d_]+)\s+\d{1,4}$")
-#: The key under which all rows of three and more initials are counted.
-INITIALS = "A.A.A"
-#: From this share of decided cases on an abbreviation may end a sentence; below, it stands before names.
-ENDS = 0.12
+#: The keys under which all single initials and all rows of three and more are counted.
+INITIAL, INITIALS = "A.", "A.A.A"
+#: Logarithms of how much likelier a decided start, and a possible name, make a place where sentences never end than one
+#: where they do. Assumed: there one capital in 200 is seen as a start by chance; here a document decides about a quarter.
+START, NAME = -4.0, 0.32
 #: What is counted of each token.
 COUNTS = ("bare", "period", "small", "final", "starts", "names")
 #: A token and the word before it are looked for in so many characters before a period.
@@ -68,10 +69,10 @@ BACK = 48
 
 
 class Evidence:
-    """The corpus tables: ``ends`` has each abbreviation with whether it tends to end sentences (None: unknown), and
+    """The corpus tables: ``ends`` has each abbreviation with whether it may end a sentence (None: unknown), and
     ``ordinal`` the words behind which a number with a period goes on."""
 
-    def __init__(self, ends: dict[str, float | None], ordinal: set[str]) -> None:
+    def __init__(self, ends: dict[str, bool | None], ordinal: set[str]) -> None:
         self.ends, self.ordinal = ends, ordinal
 
 
@@ -143,6 +144,8 @@ def _open_case(token: str, before: str) -> str | None:
     """The key under which the corpus decides a period between ``token`` and a capital; None where nothing is open."""
     if token.isdigit():
         return f"{m[1]} 0" if len(token) <= 4 and (m := _BEFORE_NUMBER.search(before)) else None
+    if len(token) == 1 and token.isupper():
+        return INITIAL
     if _is_inner(token):
         return INITIALS if token.isupper() and len(token) > 3 else token
     return token if len(token) <= 6 and token.isalpha() else None
@@ -333,7 +336,7 @@ class Splitter:
         if not follows.isupper():
             return False
         ends = self.ev.ends.get(_open_case(token, "") or token)
-        return ends >= ENDS if ends is not None else self.doc.starts(word) is True
+        return ends if ends is not None else self.doc.starts(word) is True
 
 
 def _greek(text: str, i: int) -> bool:
@@ -379,7 +382,8 @@ def _clues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 n = _NEXT.search(text, i + 1, i + 40)
                 gap = text[i + 1 : n.start() if n else i + 40]
-                if gap.startswith(",") or n and not gap.strip(_OPEN) and gap.count("\n") < 2 and (n[0][0].islower() or n[0][0].isdigit()):
+                # a digit on the next line may number an item
+                if gap.startswith(",") or n and not gap.strip(_OPEN) and (gap.count("\n") < 2 and n[0][0].islower() or "\n" not in gap and n[0][0].isdigit()):
                     small[key] += 1
                 elif gap.count("\n") > 1 or not n:
                     final[key] += 1
@@ -390,22 +394,24 @@ def _clues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def evidence(docs: DataFrame, usual: float = 0.1, least_z: float = 7.0, share: float = 0.5) -> DataFrame:
-    """(token, ends): the corpus tables. ``ends`` is the share of an abbreviation's decided cases that ended a sentence;
-    tokens that close with `` 0`` are words before ordinal numbers.
+    """(token, ends): the corpus tables. ``ends`` is whether sentences may end with an abbreviation, by the capitals that
+    follow, null if none does; tokens that close with `` 0`` are words before ordinal numbers.
 
     An abbreviation stands with its period in at least ``share`` of its places, and so often that chance at the
     ``usual`` share of words before a period is ruled out by ``least_z`` standard deviations. In one of twenty of these
     places a sentence goes on, or it behaves like a title: next to never before a sentence's start or a block's end.
+    A few places are enough for a token that never stands without its period and mostly has the sentence go on.
     Tokens with inner periods are abbreviations by their shape; they are here for their ``ends``.
     """
     counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_clues, ", ".join(["token string", *(f"{c} bigint" for c in COUNTS)]))
     total = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
     seen, n = F.col("starts") + F.col("names"), F.col("period") + F.col("bare")
-    ends = F.when(seen > 0, F.col("starts") / seen)
-    number = F.col("token").endswith(" 0") & (seen >= 3) & (ends < 0.3)
+    goes = START * F.col("starts") + NAME * F.col("names")
+    number = F.col("token").endswith(" 0") & (goes > 2)
     short = ~F.col("token").endswith(" 0") & (F.col("period") >= share * n) & (F.col("period") - usual * n >= least_z * F.sqrt(n * usual * (1 - usual)))
     goes_on = F.contains("token", F.lit(".")) | (20 * F.col("small") >= F.col("period")) | (20 * (F.col("starts") + F.col("final")) <= F.col("period"))
-    return total.where((F.col("period") > 0) & (number | short & goes_on)).select("token", ends.alias("ends"))
+    never_bare = ~F.col("token").endswith(" 0") & (F.col("bare") == 0) & (F.col("small") >= 2) & (2 * F.col("small") >= F.col("period"))
+    return total.where((F.col("period") > 0) & (number | short & goes_on | never_bare)).select("token", F.when(seen > 0, goes < 0).alias("ends"))
 
 
 def _tables(rows: list) -> Evidence:

@@ -2,7 +2,7 @@ import pytest
 
 from lexiloom.llm import sentences as S
 
-EV = S.Evidence({"Dr": 0.0, "Mrs": 0.01, "Jr": 0.3, "etc": 0.3, "Fig": None, "г": 0.0, S.INITIALS: 0.3, "Nr": None}, {"im 0", "am 0"})
+EV = S.Evidence({"Dr": False, "Mrs": False, "Jr": True, "etc": True, "Fig": None, "г": False, S.INITIAL: False, S.INITIALS: True, "Nr": None}, {"im 0", "am 0"})
 
 
 def units(text, ev=EV):
