@@ -375,6 +375,8 @@ def _clues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, short = Document(text), {*short}
             for m in _PERIOD.finditer(text):
                 i = m.start()
+                if _OWN.match(text[i - 1]):  # no mark there
+                    continue
                 if not (key := _open_case(_token(text, 0, i), text[max(0, i - BACK) : i])):
                     continue
                 period[key] += 1
@@ -407,7 +409,7 @@ def evidence(docs: DataFrame, usual: float = 0.1, least_z: float = 7.0, share: f
     total = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
     seen, n = F.col("starts") + F.col("names"), F.col("period") + F.col("bare")
     goes = START * F.col("starts") + NAME * F.col("names")
-    number = F.col("token").endswith(" 0") & (goes > 2)
+    number = F.col("token").endswith(" 0") & (goes > 3)
     short = ~F.col("token").endswith(" 0") & (F.col("period") >= share * n) & (F.col("period") - usual * n >= least_z * F.sqrt(n * usual * (1 - usual)))
     goes_on = F.contains("token", F.lit(".")) | (20 * F.col("small") >= F.col("period")) | (20 * (F.col("starts") + F.col("final")) <= F.col("period"))
     never_bare = ~F.col("token").endswith(" 0") & (F.col("bare") == 0) & (F.col("small") >= 2) & (2 * F.col("small") >= F.col("period"))
