@@ -60,8 +60,8 @@ _BEFORE_NUMBER = re.compile(r"([^\W\d_]+)\s+\d{1,4}$")
 #: The keys under which all single initials and all rows of three and more are counted.
 INITIAL, INITIALS = "A.", "A.A.A"
 #: Logarithms of how much likelier a decided start, and a possible name, make a place where sentences never end than one
-#: where they do. Assumed: there one capital in 200 is seen as a start by chance; here a document decides about a quarter.
-START, NAME = -4.0, 0.32
+#: where they do. Assumed: there one capital in 50 is seen as a start by chance; here a document decides about a quarter.
+START, NAME = -2.5, 0.27
 #: What is counted of each token.
 COUNTS = ("bare", "period", "small", "final", "starts", "names")
 #: A token and the word before it are looked for in so many characters before a period.
@@ -401,7 +401,7 @@ def evidence(docs: DataFrame, usual: float = 0.1, least_z: float = 7.0, share: f
 
     An abbreviation stands with its period in at least ``share`` of its places, and so often that chance at the
     ``usual`` share of words before a period is ruled out by ``least_z`` standard deviations. In one of twenty of these
-    places a sentence goes on, or it behaves like a title: next to never before a sentence's start or a block's end.
+    places a sentence goes on, or it behaves like a title: next to never at a block's end, and before names.
     A few places are enough for a token that never stands without its period and mostly has the sentence go on.
     Tokens with inner periods are abbreviations by their shape; they are here for their ``ends``.
     """
@@ -409,9 +409,9 @@ def evidence(docs: DataFrame, usual: float = 0.1, least_z: float = 7.0, share: f
     total = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
     seen, n = F.col("starts") + F.col("names"), F.col("period") + F.col("bare")
     goes = START * F.col("starts") + NAME * F.col("names")
-    number = F.col("token").endswith(" 0") & (goes > 3)
+    number = F.col("token").endswith(" 0") & (goes > 2.6)
     short = ~F.col("token").endswith(" 0") & (F.col("period") >= share * n) & (F.col("period") - usual * n >= least_z * F.sqrt(n * usual * (1 - usual)))
-    goes_on = F.contains("token", F.lit(".")) | (20 * F.col("small") >= F.col("period")) | (20 * (F.col("starts") + F.col("final")) <= F.col("period"))
+    goes_on = F.contains("token", F.lit(".")) | (20 * F.col("small") >= F.col("period")) | ((goes > 0) & (20 * F.col("final") <= F.col("period")))
     never_bare = ~F.col("token").endswith(" 0") & (F.col("bare") == 0) & (F.col("small") >= 2) & (2 * F.col("small") >= F.col("period"))
     return total.where((F.col("period") > 0) & (number | short & goes_on | never_bare)).select("token", F.when(seen > 0, goes < 0).alias("ends"))
 
