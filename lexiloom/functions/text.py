@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # The word of learning (ASCII letters, one inner apostrophe each), of the rare-word list, the characters
 # that part words for fertility, and white space.
 WORD = r"[a-z]+(?:'[a-z]+)?"
-RARE_WORD = r"\b[a-z'-]+\b"
+_BOUND = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"  # Java's own \b differs by version
+RARE_WORD = rf"{_BOUND}[a-z'-]+{_BOUND}"
 NO_WORD = r"[^\p{L}\p{N}_]+"
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
