@@ -190,11 +190,11 @@ def learn_distributed(types: DataFrame, learner: Learner) -> Model:
 
 
 class _Heap:
-    """The best pair without a look at all: each pair whose score may have changed is pushed again, and an entry counts
-    only while its score is the pair's own."""
+    """The best pair without a look at all: each pair whose score or place may have changed is pushed again, and an entry
+    counts only while both are the pair's own. ``place`` gives what settles ties before the pair itself."""
 
-    def __init__(self, steps: _Steps, pairs: dict, symbols: dict) -> None:
-        self.steps, self.pairs, self.symbols, self.entries = steps, pairs, symbols, []
+    def __init__(self, steps: _Steps, pairs: dict, symbols: dict, place) -> None:
+        self.steps, self.pairs, self.symbols, self.place, self.entries = steps, pairs, symbols, place, []
 
     def _score(self, p: tuple[str, str]) -> float | None:
         n = self.pairs.get(p, 0)
@@ -205,10 +205,10 @@ class _Heap:
     def best(self, changed: set) -> tuple[str, str] | None:
         for p in changed:
             if (score := self._score(p)) is not None:
-                heapq.heappush(self.entries, (-score, p))
+                heapq.heappush(self.entries, (-score, self.place(p), p))
         while self.entries:
-            score, p = self.entries[0]
-            if self._score(p) == -score:
+            score, place, p = self.entries[0]
+            if self._score(p) == -score and self.place(p) == place:
                 return p
             heapq.heappop(self.entries)
         return None
@@ -225,6 +225,7 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
     symbols: dict = defaultdict(int)
     where: dict = defaultdict(set)
     beside: dict = defaultdict(set)
+    seen: dict = defaultdict(list)  # heaps of the words of each pair, for ties by corpus order
     touched: set = set()
 
     def add(k: int, sign: int) -> None:
@@ -236,28 +237,29 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
             touched.add(p)
             if sign > 0:
                 where[p].add(k)
+                if learner.tie != "lex":
+                    heapq.heappush(seen[p], k)
                 beside[p[0]].add(p)
                 beside[p[1]].add(p)
             elif pairs[p] == 0:
                 del pairs[p]
 
-    def places() -> dict:
-        """The rank of each pair by its first place now."""
-        first: dict = {}
-        for s in split:
-            for p in zip(s, s[1:]):
-                first.setdefault(p, len(first))
-        return first
+    def place(p: tuple[str, str]) -> tuple[int, ...]:
+        """The first word that has the pair now, and where in it."""
+        if learner.tie == "lex":
+            return ()
+        while True:
+            k = seen[p][0]
+            if (i := next((i for i, q in enumerate(zip(split[k], split[k][1:])) if q == p), None)) is not None:
+                return k, i
+            heapq.heappop(seen[p])
 
     for k in range(len(split)):
         add(k, 1)
-    heap = _Heap(steps, pairs, symbols)
+    heap = _Heap(steps, pairs, symbols, place)
     while steps.open():
-        if learner.tie == "lex":
-            best = heap.best(touched)
-            touched.clear()
-        else:
-            best = steps.best(pairs, symbols, places())
+        best = heap.best(touched)
+        touched.clear()
         if not best:
             break
         a, b = best

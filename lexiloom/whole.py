@@ -10,14 +10,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.operators import words as Wd
+from lexiloom.operators.learn import Learner, Model, fast_bpe, fast_wordpiece, learn, naive_bpe, wordpiece
 from lexiloom.sources.tables import table
 
+#: Tokens of a learned vocabulary, the smaller size of the reference's grid.
+SIZE = 10_000
+BPE, NAIVE, WP, WP_SLOW = fast_bpe(SIZE), naive_bpe(SIZE), fast_wordpiece(SIZE), wordpiece(SIZE)
+
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
 
+def _model(s: SparkSession, d: str, learner: Learner) -> Model:
+    return learn(Wd.word_types(_docs(s, d)), learner)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "rare_words_whole": lambda s, d: Wd.rarest_words(Wd.rare_types(_docs(s, d))).select("word", "freq"),
+        # learners
+        "bpe_merges_lex_whole": lambda s, d: _model(s, d, BPE).merges_df(s),
+        "bpe_merges_naive_whole": lambda s, d: _model(s, d, NAIVE).merges_df(s),
+        "wp_merges_lex_whole": lambda s, d: _model(s, d, WP).merges_df(s),
+        "wp_merges_first_seen_whole": lambda s, d: _model(s, d, WP_SLOW).merges_df(s),
+        "bpe_vocab_whole": lambda s, d: _model(s, d, BPE).vocab_df(s),
+        "wp_vocab_whole": lambda s, d: _model(s, d, WP).vocab_df(s).select("token"),
+        "bpe_train_splits_whole": lambda s, d: _model(s, d, BPE).splits.select("word", "freq", "sp"),
+        "wp_train_splits_whole": lambda s, d: _model(s, d, WP).splits.select("word", "freq", "sp"),
     }
