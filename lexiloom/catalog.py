@@ -52,24 +52,17 @@ def _words(s: SparkSession, d: str) -> DataFrame:
     return Wd.word_freq(_docs(s, d))
 
 
-def _bpe() -> Tokenizer:
-    return Tokenizer("bpe", bpe_vocab_list(), [(a, b, a + b) for a, b in MERGES])
-
-
-def _bpe_long() -> Tokenizer:
-    return Tokenizer("bpe_long", bpe_vocab_list())
-
-
-def _naive() -> Tokenizer:
-    return Tokenizer("bpe", naive_vocab_list(), [(a, b, a + b) for a, b in NAIVE_MERGES], None)
-
-
-def _naive_long() -> Tokenizer:
-    return Tokenizer("bpe_long", naive_vocab_list(), end_marker=None)
-
-
-def _wp() -> Tokenizer:
-    return Tokenizer("wpc", wp_vocab_list())
+def literal(s: SparkSession, d: str, *kinds: str) -> list[Tokenizer]:
+    """The tokenizers of ``kinds`` (bpe, bpe_long, naive, naive_long, wp) with the vocabularies above."""
+    bpe, naive = ([(a, b, a + b) for a, b in merges] for merges in (MERGES, NAIVE_MERGES))
+    own = {
+        "bpe": lambda: Tokenizer("bpe", bpe_vocab_list(), bpe),
+        "bpe_long": lambda: Tokenizer("bpe_long", bpe_vocab_list()),
+        "naive": lambda: Tokenizer("bpe", naive_vocab_list(), naive, None),
+        "naive_long": lambda: Tokenizer("bpe_long", naive_vocab_list(), end_marker=None),
+        "wp": lambda: Tokenizer("wpc", wp_vocab_list()),
+    }
+    return [own[k]() for k in kinds]
 
 
 def _model(s: SparkSession, d: str, learner: Learner) -> Model:
@@ -84,11 +77,11 @@ def _ranked(s: SparkSession, d: str) -> DataFrame:
     return cut(X.ranked_types(_docs(s, d), 10_000))
 
 
-def _gold(s: SparkSession, d: str) -> DataFrame:
+def gold(s: SparkSession, d: str) -> DataFrame:
     return C.gold(table(s, d, "gold_segmentation"))
 
 
-def _domains(s: SparkSession, d: str) -> DataFrame:
+def domains(s: SparkSession, d: str) -> DataFrame:
     wiki = table(s, d, "wiki_test").select(F.lit("wiki").alias("domain"), "text")
     return wiki.unionByName(table(s, d, "guten_test").select(F.lit("guten").alias("domain"), F.col("line").alias("text")))
 
@@ -105,6 +98,37 @@ BPE, NAIVE = fast_bpe(10**6, max_merges=STEPS), naive_bpe(10**6, max_merges=STEP
 WP, WP_SLOW = fast_wordpiece(10**6, max_merges=STEPS, min_pair_freq=20), wordpiece(10**6, max_merges=STEPS, min_pair_freq=20)
 
 
+def segmenter_queries(t: Callable[..., list[Tokenizer]]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that segment; ``t`` (spark, folder, kinds) gives their tokenizers."""
+    return {
+        # segmenters
+        "bpe_tokenize": lambda s, d: _joined(t(s, d, "bpe")[0].segment(_words(s, d))),
+        "bpe_longest": lambda s, d: _joined(t(s, d, "bpe_long")[0].segment(_words(s, d))),
+        "naive_bpe_tokenize": lambda s, d: _joined(t(s, d, "naive")[0].segment(_words(s, d))),
+        "naive_bpe_longest": lambda s, d: _joined(t(s, d, "naive_long")[0].segment(_words(s, d))),
+        "wp_encode": lambda s, d: _joined(t(s, d, "wp")[0].segment(_words(s, d))),
+        "wp_encode_trie": lambda s, d: _joined(trie_match(_words(s, d), t(s, d, "wp")[0].vocab, "wordpiece")),
+        "bpe_longest_trie": lambda s, d: _joined(trie_match(_words(s, d), t(s, d, "bpe_long")[0].vocab)),
+        "wp_tokenize_docs": lambda s, d: tokenize_texts(_docs(s, d), t(s, d, "wp")[0]).groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.count_distinct("piece").alias("n_different")),
+        "wp_trie_equals_baseline": lambda s, d: (lambda v: M.same_outputs(longest_match(_words(s, d), _vocab_df(s, v), "wordpiece"), trie_match(_words(s, d), v, "wordpiece")))(t(s, d, "wp")[0].vocab),
+        # metrics
+        "wp_type_metrics": lambda s, d: M.type_metrics(t(s, d, "wp")[0].segment(_words(s, d))),
+        "wp_text_metrics": lambda s, d: (lambda w: M.text_metrics(w, t(s, d, "wp")[0].segment(w)))(_words(s, d)),
+        "wp_output_metrics": lambda s, d: (lambda w: M.text_metrics(w, trie_match(w, t(s, d, "wp")[0].vocab, "wordpiece")).select("n_tokens", "n_pieces", "avg_pieces", "unk_rate", "single_known_rate"))(_words(s, d)),
+        "ambiguity_rate": lambda s, d: M.ambiguity_rate(_words(s, d), *(x.segment(_words(s, d)) for x in t(s, d, "bpe", "bpe_long"))),
+        "ambiguous_top20": lambda s, d: M.ambiguous(_words(s, d), *(x.segment(_words(s, d)) for x in t(s, d, "bpe", "bpe_long"))).orderBy(F.desc("freq"), "word").limit(20).select("word", "freq", F.array_join("standard", " ").alias("standard"), F.array_join("longest", " ").alias("longest")),
+        "freq_words_metrics": lambda s, d: (lambda w: M.freq_words_metrics(w, t(s, d, "bpe")[0].surfaces(w)))(_ranked(s, d)),
+        "least_words_fertility": lambda s, d: (lambda w: M.mean_pieces(w, t(s, d, "bpe")[0].surfaces(w)))(Wd.rarest_words(_types(s, d)).select("word")),
+        "domain_fertility": lambda s, d: M.domain_fertility(domains(s, d), t(s, d, "bpe")[0]),
+        "wp_domain_fertility": lambda s, d: M.domain_fertility(domains(s, d), t(s, d, "wp")[0]),
+        "in_out_domain": lambda s, d: M.in_out_domain(M.domain_fertility(domains(s, d), t(s, d, "bpe")[0]), "wiki"),
+        # gold and agreement
+        "gold_prf": lambda s, d: (lambda g: M.gold_scores(g, t(s, d, "bpe")[0].surfaces(g)))(gold(s, d)),
+        "gold_prf_wp": lambda s, d: (lambda g: M.gold_scores(g, t(s, d, "wp")[0].surfaces(g)))(gold(s, d)),
+        "pairwise_agreement": lambda s, d: X.compare(*t(s, d, "bpe", "wp"), _ranked(s, d)),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # words
@@ -137,38 +161,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bpe_train_splits": lambda s, d: _model(s, d, BPE).splits.select("word", "freq", "sp"),
         "wp_train_splits": lambda s, d: _model(s, d, WP).splits.select("word", "freq", "sp"),
         "learner_comparison": lambda s, d: X.learner_comparison(_types(s, d), 120, 20, 3000)[0],
-        # segmenters
-        "bpe_tokenize": lambda s, d: _joined(_bpe().segment(_words(s, d))),
-        "bpe_longest": lambda s, d: _joined(_bpe_long().segment(_words(s, d))),
-        "naive_bpe_tokenize": lambda s, d: _joined(_naive().segment(_words(s, d))),
-        "naive_bpe_longest": lambda s, d: _joined(_naive_long().segment(_words(s, d))),
-        "wp_encode": lambda s, d: _joined(_wp().segment(_words(s, d))),
-        "wp_encode_trie": lambda s, d: _joined(trie_match(_words(s, d), wp_vocab_list(), "wordpiece")),
-        "bpe_longest_trie": lambda s, d: _joined(trie_match(_words(s, d), bpe_vocab_list())),
-        "wp_tokenize_docs": lambda s, d: tokenize_texts(_docs(s, d), _wp()).groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.count_distinct("piece").alias("n_different")),
-        "wp_trie_equals_baseline": lambda s, d: M.same_outputs(longest_match(_words(s, d), _vocab_df(s, wp_vocab_list()), "wordpiece"), trie_match(_words(s, d), wp_vocab_list(), "wordpiece")),
-        # metrics
-        "wp_type_metrics": lambda s, d: M.type_metrics(_wp().segment(_words(s, d))),
-        "wp_text_metrics": lambda s, d: (lambda w: M.text_metrics(w, _wp().segment(w)))(_words(s, d)),
-        "wp_output_metrics": lambda s, d: (lambda w: M.text_metrics(w, trie_match(w, wp_vocab_list(), "wordpiece")).select("n_tokens", "n_pieces", "avg_pieces", "unk_rate", "single_known_rate"))(_words(s, d)),
-        "ambiguity_rate": lambda s, d: M.ambiguity_rate(_words(s, d), _bpe().segment(_words(s, d)), _bpe_long().segment(_words(s, d))),
-        "ambiguous_top20": lambda s, d: M.ambiguous(_words(s, d), _bpe().segment(_words(s, d)), _bpe_long().segment(_words(s, d))).orderBy(F.desc("freq"), "word").limit(20).select("word", "freq", F.array_join("standard", " ").alias("standard"), F.array_join("longest", " ").alias("longest")),
-        "freq_words_metrics": lambda s, d: (lambda w: M.freq_words_metrics(w, _bpe().surfaces(w)))(_ranked(s, d)),
-        "least_words_fertility": lambda s, d: (lambda w: M.mean_pieces(w, _bpe().surfaces(w)))(Wd.rarest_words(_types(s, d)).select("word")),
-        "domain_fertility": lambda s, d: M.domain_fertility(_domains(s, d), _bpe()),
-        "wp_domain_fertility": lambda s, d: M.domain_fertility(_domains(s, d), _wp()),
-        "in_out_domain": lambda s, d: M.in_out_domain(M.domain_fertility(_domains(s, d), _bpe()), "wiki"),
-        # gold and agreement
-        "gold_parse": lambda s, d: _gold(s, d).select("word", F.array_join("surfaces", " ").alias("surfaces")),
-        "boundary_vectors": lambda s, d: M.boundary_vectors(_gold(s, d).withColumnRenamed("surfaces", "pieces")).select("word", F.array_join(F.col("vec").cast("array<string>"), "").alias("vec")),
-        "gold_prf": lambda s, d: (lambda g: M.gold_scores(g, _bpe().surfaces(g)))(_gold(s, d)),
-        "gold_prf_wp": lambda s, d: (lambda g: M.gold_scores(g, _wp().surfaces(g)))(_gold(s, d)),
-        "pairwise_agreement": lambda s, d: X.compare(_bpe(), _wp(), _ranked(s, d)),
+        **segmenter_queries(literal),
+        # gold
+        "gold_parse": lambda s, d: gold(s, d).select("word", F.array_join("surfaces", " ").alias("surfaces")),
+        "boundary_vectors": lambda s, d: M.boundary_vectors(gold(s, d).withColumnRenamed("surfaces", "pieces")).select("word", F.array_join(F.col("vec").cast("array<string>"), "").alias("vec")),
         # runs
         "experiment_matrix": lambda s, d: X.experiment_matrix(s),
-        "eval_run": lambda s, d: _flat(X.evaluate(_bpe(), _gold(s, d), _ranked(s, d), Wd.rarest_words(_types(s, d)), _domains(s, d), {"type": "bpe", "train_data": "wiki", "vocab_size": len(bpe_vocab_list())})),
+        "eval_run": lambda s, d: flat(X.evaluate(literal(s, d, "bpe")[0], gold(s, d), _ranked(s, d), Wd.rarest_words(_types(s, d)), domains(s, d), {"type": "bpe", "train_data": "wiki", "vocab_size": len(bpe_vocab_list())})),
     }
 
 
-def _flat(row: DataFrame) -> DataFrame:
+def flat(row: DataFrame) -> DataFrame:
     return row.select("type", "train_data", "vocab_size", "min_pair_freq", "against_gold.*", "on_freq_words.*", "on_rare_words", "avg_fert_per_wt.*")

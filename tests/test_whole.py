@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -9,6 +10,7 @@ from test_learn import slow
 import __spark_entry__ as E
 from lexiloom import whole
 from lexiloom.operators.learn import Learner, learn_rows
+from lexiloom.operators.segment import MAX_EXPRESSION, Trie
 
 TEXTS = ["The café\u2019s rock-n-roll isn't x\u00b2 cafe\u0301 old", "old \u2014 \u201cnew\u201d na\u00efve", "plain new 'words'", None, "", "\u00e9t\u00e9 -old- straße a_b \u216b-day", "plain"]
 
@@ -42,3 +44,35 @@ def test_long_runs_equal_the_plain_learner(freqs, how, tie):
     steps, split = learn_rows(list(freqs.items()), learner)
     merges, vocab, slow_split = slow(freqs, learner)
     assert steps.merges == merges and steps.vocab == vocab and split == list(slow_split.values())
+
+
+DATA = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return whole._learned(spark, DATA, "bpe", "wp")
+
+
+@needs_data
+def test_segmenters_use_a_learned_model(spark, learned):
+    bpe, wp = learned
+    assert len(bpe.merges) > MAX_EXPRESSION and len(wp.vocab) > 1000
+    got = {r.word: r.pieces for r in E.queries()["bpe_tokenize_whole"](spark, DATA).collect()}
+    known = set(bpe.vocab)
+    for word in sorted(got)[::40]:
+        split = "".join(f"|{c if c in known else '<unk>'}|" for c in word) + "|_|"
+        for a, b, m in bpe.merges:
+            split = split.replace(f"|{a}||{b}|", f"|{m}|")
+        assert got[word].split(" ") == [x for x in split.split("|") if x]
+    trie = Trie(wp.vocab, "wordpiece")
+    assert all(r.pieces.split(" ") == trie.pieces(r.word) for r in E.queries()["wp_encode_whole"](spark, DATA).collect())
+
+
+@needs_data
+def test_the_record_is_of_a_model_learned_from_wiki(spark, learned):
+    row = E.queries()["eval_run_whole"](spark, DATA).first()
+    small = E.queries()["eval_run"](spark, DATA).first()
+    assert row.train_data == "wiki" and row.vocab_size == len(learned[0].vocab) > small.vocab_size
+    assert 1 <= row["avg_fertility_1k"] < small["avg_fertility_1k"]
