@@ -3,7 +3,7 @@
 A document is the sequence of the identifiers of its lines. Level one are the lines with enough documents of the source;
 the occurrences of all other lines leave the database at once. Each level holds one row for every occurrence of a
 frequent sequence: where it began, its pattern, and the projected suffix (the frequent lines that follow). Extending all
-rows by the head of their suffix and counting documents by (source, pattern) gives the next level. Growth ends with the
+rows by each different line of their suffix and counting documents by (source, pattern) gives the next level. Growth ends with the
 first level without a frequent pattern. Counts of distinct documents are two partial aggregations (first by document),
 so a line that stands in every document of the largest source is no hot group.
 """
@@ -46,27 +46,39 @@ def _frequent(rows: DataFrame, min_books: int) -> DataFrame:
     return rows.groupBy("source", "pattern").agg(F.count_distinct("book_id").alias("books")).where(F.col("books") >= min_books)
 
 
-def prefix_span(books: DataFrame, min_books: int = 5, max_lines: int = 8, max_gap: int = 2) -> DataFrame:
-    """(source, book_id, start_no, end_no, lines, pattern, books): every occurrence of every frequent sequence.
+def _singles(books: DataFrame, min_books: int) -> DataFrame:
+    """(source, pattern, book_id, line_no, books): the frequent lines."""
+    singles = lines(books).select("source", "book_id", "line_no", F.col("line").alias("pattern"))
+    return singles.join(_frequent(singles, min_books), ["source", "pattern"]).distinct()
 
-    A sequence is frequent if it stands in at least ``min_books`` different documents of its source. Its next line is
-    the next frequent line of the document, at most ``max_gap`` line numbers on (2: over one blank line); sequences have
-    up to ``max_lines`` lines. A row that repeats a document adds nothing. Without documents there are no rows.
+
+def prefix_span(books: DataFrame, min_books: int = 5, max_lines: int | None = None, max_gap: int | None = None) -> DataFrame:
+    """(source, book_id, start_no, end_no, lines, pattern, books): the occurrences of every frequent sequence, one for
+    each line number where it can begin, with the first place of each further line.
+
+    A sequence is frequent if its lines stand in this order in at least ``min_books`` different documents of its source,
+    whatever stands between them. Growth ends when no sequence is frequent. ``max_lines`` bounds the lines of a sequence
+    and ``max_gap`` the line numbers from a line to the next one; with a gap the next line may be any place of it, so
+    there may be several rows for one beginning. A row that repeats a document adds nothing. Without documents there are
+    no rows.
     """
-    sequence = lines(books)
-    singles = sequence.select("source", "book_id", "line_no", F.col("line").alias("pattern"))
-    singles = singles.join(_frequent(singles, min_books), ["source", "pattern"]).distinct()
+    singles = _singles(books, min_books)
     # the lines of one document that survive, a few of its rows, give each of them its projected suffix
     whole = singles.groupBy("source", "book_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "pattern", "books"))).alias("s"))
-    level = cut(whole.select("source", "book_id", F.posexplode("s").alias("i", "x"), "s").select("source", "book_id", F.col("x.line_no").alias("start_no"), F.col("x.line_no").alias("end_no"), F.col("x.pattern").alias("pattern"), F.col("x.books").alias("books"), F.transform(F.slice("s", F.col("i") + 2, max_lines - 1), lambda y: F.struct(y.line_no.alias("line_no"), y.pattern.alias("line"))).alias("suffix")))
+    suffix = F.transform(F.slice("s", F.col("i") + 2, F.size("s")), lambda y: F.struct(y.line_no.alias("line_no"), y.pattern.alias("line")))
+    level = cut(whole.select("source", "book_id", F.posexplode("s").alias("i", "x"), "s").select("source", "book_id", F.col("x.line_no").alias("start_no"), F.col("x.line_no").alias("end_no"), F.col("x.pattern").alias("pattern"), F.col("x.books").alias("books"), suffix.alias("suffix")))
     levels = []
-    for n in range(1, max_lines + 1):
-        if level.isEmpty():
-            break
-        levels.append(level.withColumn("lines", F.lit(n)))
-        head = F.col("suffix")[0]
-        longer = level.where((F.size("suffix") > 0) & (F.get("suffix", F.lit(0)).line_no - F.col("end_no") <= max_gap))
-        longer = longer.select("source", "book_id", "start_no", head.line_no.alias("end_no"), _id("pattern", head.line).alias("pattern"), F.slice("suffix", F.lit(2), F.lit(max_lines)).alias("suffix"))
+    while (max_lines is None or len(levels) < max_lines) and not level.isEmpty():
+        levels.append(level.withColumn("lines", F.lit(len(levels) + 1)))
+        longer = level.select("source", "book_id", "start_no", F.col("end_no").alias("from_no"), F.col("pattern").alias("prefix"), "suffix", F.posexplode("suffix").alias("i", "x"))
+        if max_gap is None:
+            # a later place of the same line has a shorter suffix and adds nothing
+            longer = longer.where(F.array_position(F.col("suffix.line"), F.col("x.line")) == F.col("i") + 1)
+        else:
+            longer = longer.where(F.col("x.line_no") - F.col("from_no") <= max_gap)
+        longer = longer.select("source", "book_id", "start_no", F.col("x.line_no").alias("end_no"), _id("prefix", "x.line").alias("pattern"), F.slice("suffix", F.col("i") + 2, F.size("suffix")).alias("suffix"))
+        if max_gap is not None:  # two ways to one place
+            longer = longer.distinct()
         level = cut(longer.join(_frequent(longer, min_books), ["source", "pattern"]))
     columns = ["source", "book_id", "start_no", "end_no", "lines", "pattern", "books"]
     if not levels:
@@ -74,16 +86,10 @@ def prefix_span(books: DataFrame, min_books: int = 5, max_lines: int = 8, max_ga
     return reduce(DataFrame.unionAll, [x.select(columns) for x in levels])
 
 
-def _cover(spans: DataFrame) -> DataFrame:
-    """(book_id, line_no): the lines of the frequent sequences. Each line of a frequent sequence is frequent itself, so
-    the lines between two of them in a gap are not among the covered ones."""
-    ends = F.explode(F.array("start_no", "end_no"))
-    return spans.select("book_id", ends.alias("line_no")).distinct()
-
-
 def found(books: DataFrame) -> DataFrame:
-    """(book_id, line_no) of each line of a frequent sequence of at least 5 documents."""
-    return _cover(prefix_span(books)).select("book_id", F.col("line_no").cast("bigint").alias("line_no"))
+    """(book_id, line_no) of each line of a frequent sequence of at least 5 documents: the frequent lines, as each line of
+    such a sequence is one itself."""
+    return _singles(books, 5).select("book_id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
 
 
 def sequences(books: DataFrame) -> DataFrame:

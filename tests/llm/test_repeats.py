@@ -66,3 +66,25 @@ def test_long_text_and_letters_of_all_scripts(spark, rows):
     line = "Все права принадлежат полке, смотри {}"
     data = [(i, "s", "\n".join(f"{re.sub('0', 'x', bin(i))} {j} own words" for j in range(3000)) + "\n" + line.format(i)) for i in range(5)]
     assert [p for p in rows(R.found(books(spark, *data))) if p[1] == 3000] == [(i, 3000) for i in range(5)]
+
+
+def all_sequences(docs, least=5):
+    """(lines, books, places) of all frequent sequences of lines, in any distance."""
+    counts, level = [], {(): [(b, None, -1) for b in range(len(docs))]}
+    while level:
+        longer = defaultdict(list)
+        for p, places in level.items():
+            for b, start, end in places:
+                for x in set(docs[b][end + 1 :]):
+                    at = [i for i in range(end + 1, len(docs[b])) if docs[b][i] == x]
+                    longer[(*p, x)] += [(b, i if start is None else start, i) for i in (at if start is None else at[:1])]
+        level = {p: v for p, v in longer.items() if len({b for b, *_ in v}) >= least}
+        counts += [(len(p), len({b for b, *_ in v}), len(v)) for p, v in level.items()]
+    return sorted(counts)
+
+
+def test_sequences_may_be_long_and_wide_apart(spark):
+    long = [f"{'abcdefghi'[i] * 12} of the notice" for i in range(9)]
+    docs = [[*long, "a byline between"] if b < 5 else [long[0], "a line of one book " + "xyzuv"[b % 5] * b, *["a byline between"] * 2, long[1], long[0]] for b in range(10)]
+    got = sorted((r.lines, r.books, r.places) for r in R.sequences(books(spark, *[(b, "s", "\n\n\n".join(x)) for b, x in enumerate(docs)])).collect())
+    assert got == all_sequences(docs) and max(got)[0] == 10
