@@ -76,3 +76,8 @@ def test_the_record_is_of_a_model_learned_from_wiki(spark, learned):
     small = E.queries()["eval_run"](spark, DATA).first()
     assert row.train_data == "wiki" and row.vocab_size == len(learned[0].vocab) > small.vocab_size
     assert 1 <= row["avg_fertility_1k"] < small["avg_fertility_1k"]
+
+
+@needs_data
+def test_both_wordpiece_learners_are_compared_at_full_size(spark):
+    assert E.queries()["learner_comparison"](spark, DATA).first().n_merges > 120
