@@ -13,12 +13,21 @@ marks AS (SELECT term, total, records, total < 5 OR records <= 1 AS rare,
 
 #: (book_id, source, line_no, raw, letters) of gutenberg.
 LINES = r"""books AS (SELECT DISTINCT book_id, text, nullif(lower(trim(source, ' ' || chr(9))), '') AS source FROM gutenberg),
-split AS (SELECT book_id, source, string_split(text, chr(10)) AS parts FROM books WHERE source IS NOT NULL AND text IS NOT NULL),
-lines AS (SELECT book_id, source, i - 1 AS line_no, regexp_replace(parts[i], '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS raw,
+split AS (SELECT book_id, source, text, string_split(text, chr(10)) AS parts FROM books WHERE source IS NOT NULL AND text IS NOT NULL),
+lines AS (SELECT book_id, source, text, i - 1 AS line_no, regexp_replace(parts[i], '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS raw,
   lower(regexp_replace(parts[i], '[^\pL]+', '', 'g')) AS letters FROM split, unnest(range(1, len(parts) + 1)) AS t(i)),
 good AS (SELECT * FROM lines WHERE length(raw) >= 10 AND letters <> ''),
 often AS (SELECT source, letters FROM good GROUP BY ALL HAVING count(DISTINCT book_id) >= 5),
-marked AS (SELECT DISTINCT book_id, line_no FROM good JOIN often USING (source, letters))"""
+marked AS (SELECT DISTINCT book_id, source, text, line_no, letters FROM good JOIN often USING (source, letters))"""
+
+#: (source, pattern, ...): each sequence of frequent lines grows by the first place of each line behind it, as long as
+#: five books of the source have it.
+SEQUENCES = rf"""{LINES},
+docs AS MATERIALIZED (SELECT source, book_id, dense_rank() OVER (ORDER BY source, book_id, text) AS d, line_no::INTEGER AS line_no, md5(letters) AS h FROM marked),
+grow AS (SELECT source, book_id, d, line_no AS s, line_no AS e, h AS p, 1 AS k FROM docs
+  UNION ALL SELECT g.source, g.book_id, g.d, g.s, min(n.line_no), g.p || n.h, g.k + 1
+  FROM (SELECT *, count(DISTINCT book_id) OVER (PARTITION BY source, p) AS c FROM grow) g JOIN docs n ON n.d = g.d AND n.line_no > g.e
+  WHERE c >= 5 GROUP BY g.source, g.book_id, g.d, g.s, g.e, g.p, g.k, n.h)"""
 
 #: (item_id, book_id) by all windows of twelve words.
 LEAKS = r"""items AS (SELECT item_id, set_name, regexp_extract_all(lower(line), '[a-z]+(?:''[a-z]+)?') AS w FROM guten_test),
@@ -60,8 +69,9 @@ docs AS (SELECT doc_id, flatten(list(ids ORDER BY i, j)) AS ids FROM tok JOIN do
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": f"WITH {LINES} SELECT book_id, line_no::BIGINT AS line_no FROM marked",
-        "p1_cleaned": f"WITH {LINES} SELECT book_id, CASE WHEN source IS NULL OR text IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(coalesce(drops, []), i - 1)), lambda i: string_split(text, chr(10))[i]), chr(10)) END AS text FROM books LEFT JOIN (SELECT book_id, list(line_no) AS drops FROM marked GROUP BY book_id) USING (book_id)",
+        "p1_found": f"WITH {LINES} SELECT DISTINCT book_id, line_no::BIGINT AS line_no FROM marked",
+        "p1_sequences": f"WITH RECURSIVE {SEQUENCES} SELECT source, md5(unhex(p)) AS pattern, k AS lines, count(DISTINCT book_id) AS books, count(*) AS places, min(struct_pack(b := book_id, s := s, e := e)).b AS book_id, min(struct_pack(b := book_id, s := s, e := e)).s AS start_no, min(struct_pack(b := book_id, s := s, e := e)).e AS end_no FROM grow GROUP BY source, p, k HAVING count(DISTINCT book_id) >= 5",
+        "p1_cleaned": f"WITH {LINES} SELECT book_id, CASE WHEN source IS NULL OR text IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(coalesce(drops, []), i - 1)), lambda i: string_split(text, chr(10))[i]), chr(10)) END AS text FROM books LEFT JOIN (SELECT book_id, source, text, list(line_no) AS drops FROM marked GROUP BY ALL) USING (book_id, source, text)",
         "p2_found": f"WITH {TERMS} SELECT term AS word, 'rare' AS mark FROM marks WHERE rare UNION ALL SELECT term, 'common' FROM marks WHERE common",
         "p2_terms": f"WITH {TERMS} SELECT term, total, records, rare, common FROM marks",
         "p3_found": f"WITH {TERMS} SELECT term AS word FROM terms WHERE total * 500 >= (SELECT sum(total) FROM terms)",

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -44,8 +45,8 @@ def test_sequences_grow(spark):
     df = books(spark, *[(i, "s", text if i < 5 else "first notice line\nsecond notice line\nnothing else here") for i in range(6)])
     got = {(r.lines, r.books) for r in R.sequences(df).collect()}
     assert got == {(1, 6), (1, 5), (2, 6), (2, 5), (3, 5)}
-    longest = R.prefix_span(df).where("lines = 3").select("start_no", "end_no").distinct().collect()
-    assert [tuple(r) for r in longest] == [(0, 3)]
+    longest = R.prefix_span(df).where("lines = 3").select("book_id", "start_no", "end_no").distinct().collect()
+    assert [tuple(r) for r in longest] == [(0, 0, 3)]
     assert R.prefix_span(df, max_lines=2).where("lines > 2").count() == 0
     assert R.prefix_span(df, max_gap=1).where("lines = 3").count() == 0
 
@@ -86,5 +87,57 @@ def all_sequences(docs, least=5):
 def test_sequences_may_be_long_and_wide_apart(spark):
     long = [f"{'abcdefghi'[i] * 12} of the notice" for i in range(9)]
     docs = [[*long, "a byline between"] if b < 5 else [long[0], "a line of one book " + "xyzuv"[b % 5] * b, *["a byline between"] * 2, long[1], long[0]] for b in range(10)]
-    got = sorted((r.lines, r.books, r.places) for r in R.sequences(books(spark, *[(b, "s", "\n\n\n".join(x)) for b, x in enumerate(docs)])).collect())
+    df = books(spark, *[(b, "s", "\n\n\n".join(x)) for b, x in enumerate(docs)])
+    got = sorted((r.lines, r.books, r.places) for r in R.sequences(df).collect())
     assert got == all_sequences(docs) and max(got)[0] == 10
+    # databases over the bound are extended as tables instead
+    for bound in (0, 25):
+        assert sorted((r.lines, r.books, r.places) for r in R.prefix_span(df, max_load=bound).collect()) == got
+
+
+def test_support_of_lines_with_others_between(spark):
+    a, b, c = "alpha is the first line", "beta is the second line", "gamma is the third line"
+    df = books(spark, *[(i, "s", "\n".join([a, b, c] if i < 6 else [a, c, b])) for i in range(12)])
+    pair = R.lines(df).where("line_no = 0 or line_no = 2").where("book_id = 0").orderBy("line_no").collect()
+    wide = {bytes(r.prefix): r.books for r in R.prefix_span(df, max_gap=2).collect()}
+    assert wide[bytes(pair[0].line) + bytes(pair[1].line)] == 12
+    near = {bytes(r.prefix): r.books for r in R.prefix_span(df, max_gap=1).collect()}
+    assert near[bytes(pair[0].line) + bytes(pair[1].line)] == 6
+
+
+def gapped(docs, gap, least=5):
+    """(lines, books, places) of the sequences whose lines follow each other within ``gap`` lines."""
+    out, level = [], {(x,): {(b, i, i) for b, d in enumerate(docs) for i, y in enumerate(d) if y == x} for x in {x for d in docs for x in d}}
+    while level := {p: v for p, v in level.items() if len({b for b, *_ in v}) >= least}:
+        out += [(len(p), len({b for b, *_ in v}), len(v)) for p, v in level.items()]
+        longer = defaultdict(set)
+        for p, v in level.items():
+            for b, s, e in v:
+                for i in range(e + 1, min(e + gap, len(docs[b]) - 1) + 1):
+                    longer[(*p, docs[b][i])].add((b, s, i))
+        level = longer
+    return sorted(out)
+
+
+def test_gaps_equal_brute_force(spark):
+    rnd = random.Random(5)
+    names = [f"{w} words make a line" for w in ("alder", "birch", "cedar", "douglas")]
+    docs = [rnd.choices(names, k=rnd.randint(1, 7)) for _ in range(14)]
+    df = books(spark, *[(b, "s", "\n".join(x)) for b, x in enumerate(docs)])
+    for gap in (1, 2, None):
+        want = all_sequences(docs) if gap is None else gapped(docs, gap)
+        for bound in (0, R.MAX_LOAD):
+            assert sorted((r.lines, r.books, r.places) for r in R.prefix_span(df, max_gap=gap, max_load=bound).collect()) == want
+
+
+def test_many_frequent_lines_are_spread(spark, rows, monkeypatch):
+    data = [(i, "s", "\n".join(f"{w} stands in every book" for w in ("one", "two", "three"))) for i in range(6)]
+    monkeypatch.setattr(R, "MAX_LINES", 0)
+    assert rows(R.found(books(spark, *data))) == brute(data)
+    assert len(R.prefix_span(books(spark, *data), max_load=0).collect()) == 7
+
+
+def test_two_texts_of_one_book(spark, rows):
+    texts = ["the line that all books share\nown {}", "own {}\nand nothing of the others"]
+    data = [(i, "s", texts[0].format(i)) for i in range(5)] + [(0, "s", texts[1].format(9)), (0, " S ", texts[0].format(0))]
+    assert sorted(t for b, t in rows(R.cleaned(books(spark, *data))) if b == 0) == ["own 0", "own 9\nand nothing of the others"]
