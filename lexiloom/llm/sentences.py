@@ -9,7 +9,9 @@ whose decided cases didn't are ordinals. Marks that can't be mistaken close by t
 white space, Greek also by its question mark, and the period is no mark within scripts that have their own.
 
 The corpus counts are one scan with partial sums per task and a small shuffle; their tables go to the tasks as a
-broadcast if they are within ``MAX_EVIDENCE`` rows, else each document gets its own part of them by joins.
+broadcast if they are within ``MAX_EVIDENCE`` rows, else each text gets by joins all rows that its periods can ask for,
+wherever its units begin: both ways give the same units. What a document tells of its own words is gathered in one pass
+over it, so the time grows with its length alone.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.plans.lineage import bounded_rows, cut
+from lexiloom.plans.lineage import bounded_rows, cut, spread_join
 
 MAX_EVIDENCE = 200_000
 
@@ -32,6 +34,8 @@ STRONG = "!?。！？｡।॥።፧؟۔‽⁇⁈⁉"
 GREEK_QUESTION = ";;"
 MARKS = ".…．" + STRONG
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "〈": "〉", "“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", '"': '"'}
+#: The signs that each closing sign can close.
+OPENERS = {c: [o for o, own in PAIRS.items() if c in own] for c in set("".join(PAIRS.values()))}
 QUOTES = "“„«‹「『\""
 CLOSERS = "".join(sorted(set("".join(PAIRS.values())))) + "’"
 NOTES = "¹²³⁰⁴⁵⁶⁷⁸⁹*†‡"
@@ -55,6 +59,12 @@ _LETTER = re.compile(r"[^\W\d_]")
 _LOWER_AFTER = re.compile(rf"\.\s+(?=[{SMALL}])|\.(?=,)")
 _SHORT = re.compile(r"(?<![\w.])[^\W\d_]{1,6}(?![\w.])")
 _PERIOD = re.compile(r"(?<=[^\W_])\.(?![.\w])")
+_ASKS = re.compile(rf"(?<=[^\W_])[{re.escape(MARKS)}]")
+_SOLID = re.compile(r"\S")
+# words by themselves that may begin with a small letter, those that begin with no small ASCII letter behind a space, and single letters before small words
+_ALONE = re.compile(r"(?<![\w.@/])[^\W_A-Z\d][^\W_]*+(?![\w@/])")
+_CAPITAL = re.compile(r"(?<=[\w,] )[^\W\d_a-z][^\W_]*+(?![\w@/])")
+_ONE_LETTER = re.compile(rf"(?<![\w.])([^\W\d_]) (?=[{SMALL}])")
 _OPEN = "“„«\"(¿¡ \n\r\t\xa0"
 _BEFORE_NUMBER = re.compile(r"([^\W\d_]+)\s+\d{1,4}$")
 #: The keys under which all single initials and all rows of three and more are counted.
@@ -77,12 +87,15 @@ class Evidence:
 
 
 class Document:
-    """What one text itself tells of its words; looked up only where a period is open."""
+    """What one text itself tells of its words: tables of one pass each, made when a period first asks for them."""
 
     def __init__(self, text: str) -> None:
         self.text = text
         self._before_small: set[str] | None = None
-        self._case: dict[str, bool | None] = {}
+        self._alone: set[str] | None = None
+        self._within: set[str] | None = None
+        self._letters: set[str] | None = None
+        self._looks = 0
 
     def before_small(self, token: str) -> bool:
         """Whether the token stands with its period before a small letter or a comma."""
@@ -90,31 +103,27 @@ class Document:
             self._before_small = {_token(self.text, 0, m.start()) for m in _LOWER_AFTER.finditer(self.text)}
         return token in self._before_small
 
+    def letter_word(self, letter: str) -> bool:
+        """Whether the letter stands by itself before a small word."""
+        if self._letters is None:
+            self._letters = set(_ONE_LETTER.findall(self.text))
+        return letter in self._letters
+
     def starts(self, word: str) -> bool | None:
-        """True if the capitalised word also stands in small letters, False if also capitalised within a sentence."""
-        if word not in self._case:
-            case = None
-            if self._stands(word[0].lower() + word[1:], False):
-                case = True
-            elif self._stands(word, True):
-                case = False
-            self._case[word] = case
-        return self._case[word]
-
-
-    def _stands(self, word: str, within: bool) -> bool:
-        """Whether the word stands in the text by itself; ``within``: behind a small letter or comma and a space."""
-        text, n, i = self.text, len(word), self.text.find(word)
-        while i >= 0:
-            behind, before = text[i + n : i + n + 1], text[i - 1 : i] if i else ""
-            if not (behind.isalnum() or behind in ("_", "@", "/") and behind):
-                if within:
-                    if before == " " and (text[i - 2 : i - 1].islower() or text[i - 2 : i - 1] == ","):
-                        return True
-                elif not (before.isalnum() or before in ("_", ".", "@", "/") and before):
-                    return True
-            i = text.find(word, i + 1)
-        return False
+        """True if the capitalised word also stands in small letters, False if also capitalised within a sentence: behind
+        a small letter or comma and a space."""
+        small, text = word[0].lower() + word[1:], self.text
+        if self._alone is None and self._looks < 8:  # a few looks at the text are cheaper than its table
+            self._looks += 1
+            if small in text:
+                self._alone = set(_ALONE.findall(text))
+        elif self._alone is None:
+            self._alone = set(_ALONE.findall(text))
+        if self._alone is not None and small in self._alone:
+            return True
+        if self._within is None:
+            self._within = {m[0] for m in _CAPITAL.finditer(text) if (c := text[m.start() - 2]) == "," or c.islower()}
+        return False if word in self._within else None
 
 
 def _token(text: str, low: int, i: int) -> str:
@@ -136,7 +145,7 @@ def _abbreviation(token: str, doc: Document, ev: Evidence) -> bool:
         if token == token.lower() == token.upper():
             return True
         if token.isupper():  # an initial, unless it is a word of its own here
-            return not re.search(rf"(?<![\w.]){token} [{SMALL}]", doc.text)
+            return not doc.letter_word(token)
     return len(token) <= 6 and token.isalpha() and doc.before_small(token)
 
 
@@ -155,7 +164,7 @@ class Splitter:
     """The units of one text."""
 
     def __init__(self, text: str, ev: Evidence) -> None:
-        self.text, self.ev, self.doc, self.marked = text, ev, Document(text), False
+        self.text, self.ev, self.doc, self.marked, self.tail = text, ev, Document(text), False, (0, 0)
 
     def units(self) -> list[tuple[int, int]]:
         text, out = self.text, []
@@ -215,19 +224,21 @@ class Splitter:
     def _pairs(self, events: list[re.Match]) -> dict[int, int]:
         """Outer quotations and brackets of a segment: place of the opening sign to place of the closing one."""
         stack: list[tuple[str, int]] = []
+        levels: dict[str, list[int]] = {c: [] for c in PAIRS}  # where in the stack each opening sign is
         found: list[tuple[int, int]] = []
         for m in events:
             c = m[0]
             if c[0] in MARKS or c[0] in GREEK_QUESTION:
                 continue
-            for k in range(len(stack) - 1, -1, -1):
-                if c in PAIRS[stack[k][0]]:
-                    found.append((stack[k][1], m.start()))
-                    del stack[k:]
-                    break
-            else:
-                if c in PAIRS:
-                    stack.append((c, m.start()))
+            k = max((levels[o][-1] for o in OPENERS.get(c, ()) if levels[o]), default=-1)
+            if k >= 0:
+                found.append((stack[k][1], m.start()))
+                for o, _ in stack[k:]:
+                    levels[o].pop()
+                del stack[k:]
+            elif c in PAIRS:
+                levels[c].append(len(stack))
+                stack.append((c, m.start()))
         outer, end = {}, -1
         for o, c in sorted(found):
             if o > end:
@@ -236,7 +247,9 @@ class Splitter:
 
     def _tail(self, e: int, b: int, pairs: dict[int, int]) -> int:
         """The end of the closing and note signs from ``e`` on."""
-        text = self.text
+        text, begin = self.text, e
+        if self.tail[0] < e <= self.tail[1]:  # a mark within the signs behind the last one
+            return self.tail[1]
         while e < b:
             if (c := text[e]) in NOTES or c in MARKS or c in CLOSERS and e not in pairs:
                 e += 1
@@ -246,6 +259,7 @@ class Splitter:
                 e += 2
             else:
                 break
+        self.tail = (begin, e)
         return e
 
     def _parted(self, a: int, b: int, words: int) -> list[tuple[int, int]]:
@@ -278,7 +292,7 @@ class Splitter:
             self.marked = True
             out.append((start, end))
             skip = end
-            start = words = end + len(text[end:b]) - len(text[end:b].lstrip())
+            start = words = n.start() if (n := _SOLID.search(text, end, b)) else b
         if start < b:
             out.append((start, b))
         return out
@@ -315,7 +329,7 @@ class Splitter:
             return not _abbreviation(token, self.doc, self.ev)
         if _OWN.match(prev):
             return False
-        if _NUMBERING.match(text[words:i]) and words >= start:
+        if _NUMBERING.match(text, words, i) and words >= start:
             return False
         n = _NEXT.search(text, end, min(b, end + 200))
         word = n[0] if n else ""
@@ -436,15 +450,29 @@ def _split_all(tables: Broadcast):
 
 def _split_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        own = [[(x["token"], x["ends"]) for x in rows or []] for rows in b.column(2).to_pylist()]
-        yield _emit(b.column(0).to_pylist(), [Splitter(t, _tables(rows)).units() for t, rows in zip(b.column(1).to_pylist(), own)])
+        own = [[(x["token"], x["ends"]) for x in rows or []] for rows in b.column("own").to_pylist()]
+        yield _emit(b.column("doc_id").to_pylist(), [Splitter(t, _tables(rows)).units() for t, rows in zip(b.column("text").to_pylist(), own)])
+
+
+def asked(text: str) -> set[str]:
+    """All keys of the corpus tables that a splitter of this text can look up, wherever its units begin: a unit may begin
+    within a token, behind an inner period and the note signs that follow it."""
+    out = set()
+    for m in _ASKS.finditer(text):
+        i = m.start()
+        token, before = _token(text, 0, i), text[max(0, i - BACK) : i]
+        while token:
+            for t in {token, token.lstrip(NOTES)} - {""}:
+                out.update(k for k in (t, _open_case(t, before)) if k)
+            token = token.partition(".")[2].lstrip(".")
+    return out
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [{k for m in _PERIOD.finditer(x) if (k := _open_case(_token(x, 0, m.start()), x[max(0, m.start() - BACK) : m.start()]))} for x in b.column(1).to_pylist()]
-        docs = b.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, k in zip(docs, keys) for _ in k], pa.int64()), pa.array([t for k in keys for t in k], pa.string())], names=["doc_id", "token"])
+        keys = [sorted(asked(x)) for x in b.column("text").to_pylist()]
+        at = pa.array([i for i, k in enumerate(keys) for _ in k], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("h1").take(at), b.column("h2").take(at), pa.array([t for k in keys for t in k], pa.string())], names=["h1", "h2", "token"])
 
 
 UNITS = "doc_id bigint, start_pos bigint, end_pos bigint"
@@ -462,5 +490,9 @@ def sentences(docs: DataFrame, max_evidence: int = MAX_EVIDENCE) -> DataFrame:
     if rows is not None:
         tables = docs.sparkSession.sparkContext.broadcast(_tables([tuple(r) for r in rows]))
         return texts.mapInArrow(_split_all(tables), UNITS)
-    own = texts.mapInArrow(_asked, "doc_id bigint, token string").join(known, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "ends")).alias("own"))
-    return texts.join(own.distinct(), "doc_id", "left").mapInArrow(_split_each, UNITS)
+    # evidence is a matter of the text: rows find theirs by its hash, whatever their doc_id
+    key = ["h1", "h2"]
+    texts = texts.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(7), "text"))
+    tokens = texts.select(*key, "text").mapInArrow(_asked, "h1 bigint, h2 bigint, token string").distinct()
+    own = spread_join(tokens, known, ["token"], max_evidence).groupBy(*key).agg(F.collect_list(F.struct("token", "ends")).alias("own"))
+    return texts.join(own, key, "left").select("doc_id", "text", "own").mapInArrow(_split_each, UNITS)

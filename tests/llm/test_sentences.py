@@ -1,3 +1,7 @@
+import os
+import time
+
+import pyarrow as pa
 import pytest
 
 from lexiloom.llm import sentences as S
@@ -81,3 +85,35 @@ def test_tables_and_joins_give_the_same(spark, rows):
     assert {d for d, *_ in whole} == {*range(20), 23}
     assert rows(S.sentences(df.where("doc_id = 99"))) == []
     assert len(rows(S.sentences(df.unionAll(df)))) == 2 * len(whole)
+
+
+def test_both_paths_on_glued_tokens_and_odd_rows(spark, rows):
+    lines = [f"We met Dr. Name{chr(97 + i)} here. They left, etc. and then so on. It was Dr. Other. So they left it at that, etc. Then it was over." for i in range(20)]
+    odd = ["We met Dr.Smith there. He left.", "We met Dr. Smith there.", "All was fine.Dr. Smith came.\u00b2Dr. Smith left.", "it is Dr. Smith (of etc. Then) etc. Then more"]
+    data = [(i, t) for i, t in enumerate(lines)] + [(d, t) for t in odd for d in (None, 77, 77)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    whole = rows(S.sentences(df))
+    assert whole == rows(S.sentences(df, max_evidence=0))
+    assert (None, 0, 23) in whole and whole.count((77, 0, 23)) == 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_both_paths_on_a_table(spark, rows):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert rows(S.sentences(df)) == rows(S.sentences(df, max_evidence=0))
+
+
+@pytest.mark.parametrize("piece", ["By N. L. Wufar and Mr. Hena it was so. ", "N. L. ", "Dr. Xa{} said it. ", "( [ \u201e ] x. ", ".).", "One line. ", "a.b. C. ", "no mark \n"])
+def test_time_grows_with_the_length_alone(piece):
+    def seconds(n):
+        text = "".join(piece.format(i) for i in range(n // len(piece)))
+        best = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            S.Splitter(text, EV).units()
+            list(S._clues(iter([pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])])))
+            best = min(best, time.process_time() - began)
+        return best
+
+    # other work on the machine may disturb one attempt
+    assert any(seconds(200_000) < 2.5 * seconds(100_000) + 0.02 for _ in range(4))
