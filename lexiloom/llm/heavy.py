@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.terms import clean_rows
-from lexiloom.plans.lineage import cut
+from lexiloom.plans.lineage import cut, spread_join, written
 from lexiloom.sources.tables import tasks
 
 #: Odd multipliers of the sketch's row hashes (multiply-shift over a 64-bit hash of the value); any odd numbers do.
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
+#: Most candidates that go to every task for their exact sums.
+MAX_CANDIDATES = 1_000_000
+
 
 class Sketch:
     """Count-min sketch of ``len(ODD)`` rows and ``2 ** bits`` columns; takes batches of distinct values."""
@@ -95,9 +98,9 @@ def heavy_hitters(rows: DataFrame, share: float = 1 / 500, bits: int = 16, capac
     ``rows``: row_id, term, freq (over 0); rows alike in all three count once. The heap of each partition holds
     ``capacity`` values (default 2 / share); a tie at the threshold is in. An empty table gives no rows.
     """
-    spark = rows.sparkSession
-    stream = rows.select("row_id", "term", F.col("freq").cast("bigint").alias("freq")).distinct().select("term", "freq").mapInArrow(_combine(rows_a_block), "term string, freq bigint")
-    parts = stream.select("term", "freq", F.xxhash64("term").alias("h")).repartition(tasks(spark), "h").mapInArrow(_heaps(bits, capacity or int(2 / share)), "term string, estimate bigint, total bigint")
+    single = rows.select("row_id", "term", F.col("freq").cast("bigint").alias("freq")).distinct().select("term", "freq")
+    stream = written(single.mapInArrow(_combine(rows_a_block), "term string, freq bigint"))  # read twice
+    parts = stream.select("term", "freq", F.xxhash64("term").alias("h")).repartition(tasks(stream), "h").mapInArrow(_heaps(bits, capacity or int(2 / share)), "term string, estimate bigint, total bigint")
     heaps = cut(parts)
     total, let_go = heaps.agg(F.sum("total"), F.max(F.when(F.col("term").isNull(), F.col("estimate")))).first()
     least = math.ceil(share * (total or 0) - 1e-6)
@@ -105,7 +108,7 @@ def heavy_hitters(rows: DataFrame, share: float = 1 / 500, bits: int = 16, capac
     if (let_go or 0) >= least and total:  # the heaps were too small for this column
         exact = stream.groupBy("term").agg(F.sum("freq").alias("total")).withColumn("estimate", F.col("total"))
     else:  # at most capacity values a partition
-        exact = stream.join(F.broadcast(heavy.select("term", "estimate")), "term").groupBy("term").agg(F.max("estimate").alias("estimate"), F.sum("freq").alias("total"))
+        exact = spread_join(stream, cut(heavy.select("term", "estimate")), ["term"], MAX_CANDIDATES).groupBy("term").agg(F.max("estimate").alias("estimate"), F.sum("freq").alias("total"))
     return exact.where(F.col("total") >= F.lit(least)).select("term", "estimate", "total")
 
 

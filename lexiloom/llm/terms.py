@@ -1,9 +1,14 @@
 """Problem 2: frequency of every distinct term and n-gram, with the number of records it stands in.
 
-The suffixes of all records, cut to n tokens, are range-partitioned and sorted by (suffix, record, key). In this order
-the suffixes that share their first n tokens are one interval; its weights sum to the n-gram's occurrences, and its
-length less the adjacent pairs of one record is its number of records. Range bounds are on (suffix, record), so an
-interval of any size spreads over many tasks while a record's share of it stays in one, and the parts just add up.
+The suffixes of all records, cut to n tokens, are range-partitioned and sorted. In this order the suffixes that share
+their first n tokens, by the common prefix with the neighbour, are one interval for each n at once: its weights sum to
+the n-gram's occurrences, and its length less the duplicates within records is its number of records. In a table of
+texts a record is a row; the common prefix of each of its suffixes with the one before it in the record's own order says
+for which n the place is a duplicate. In a table of words a record's rows lie anywhere, and every suffix is one token, so
+the sort goes by (word, record, row) and duplicates are adjacent.
+
+Range bounds go down to single rows, so an interval of any size spreads over many tasks. Only the intervals at the ends
+of a partition, a few of each, can go on in another one; they alone are put together by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,13 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.plans.lineage import written
 from lexiloom.sources.tables import tasks
 
-#: Between the tokens of an n-gram; cannot stand in a token that white space parts.
-GAP = " "
+#: Between the tokens of a suffix: the lowest character, so suffixes with the same first tokens lie together. A token
+#: must not have it.
+GAP = "\0"
+PARTS = "n int, term string, total bigint, records bigint, edge boolean, part int, lo bigint, hi bigint"
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
@@ -29,67 +38,164 @@ def clean_rows(df: DataFrame) -> DataFrame:
     return rows.where((F.col("term") != "") & (F.col("freq") > 0))
 
 
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (n, term, record, key, weight) to partial (n, term, total, records), one row for each run of a batch."""
-    last = None
-    for b in batches:
-        if not (rows := b.num_rows):
-            continue
-        n, record, key = (np.ma.filled(np.asarray(b.column(c).fill_null(-1))) for c in ("n", "record", "key"))
-        no_record, no_key = (np.asarray(b.column(c).is_null()) for c in ("record", "key"))
-        term, weight = b.column("term"), np.asarray(b.column("weight"))
-        same = np.empty(rows, bool)
-        same[0] = last is not None and last[:2] == (n[0], term[0].as_py())
-        same[1:] = np.asarray(pc.equal(term[1:], term[:-1])) & (n[1:] == n[:-1])
-        ends = ((record[0], no_record[0]), (key[0], no_key[0]))
-        again = same.copy()
-        again[0] &= last is not None and last[2] == ends[0]
-        again[1:] &= (record[1:] == record[:-1]) & (no_record[1:] == no_record[:-1])
-        repeated = again & ~no_key
-        repeated[0] &= last is not None and last[3] == ends[1]
-        repeated[1:] &= (key[1:] == key[:-1]) & (no_key[1:] == no_key[:-1])
-        first = same.copy()
-        first[0] = False
-        at = np.flatnonzero(~first)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(n[at], pa.int32()), term.take(pa.array(at)), pa.array(np.add.reduceat(np.where(repeated, 0, weight), at), pa.int64()), pa.array(np.add.reduceat((~again & ~no_record).astype("int64"), at), pa.int64())],
-            names=["n", "term", "total", "records"],
-        )
-        last = (n[-1], term[-1].as_py(), (record[-1], no_record[-1]), (key[-1], no_key[-1]))
-
-
-def suffixes(df: DataFrame, tokens: Column, record: Column, max_n: int) -> DataFrame:
-    """(n, term, record, key, weight): for each position of ``tokens`` its suffix cut to n = 1..max_n tokens.
-
-    The key is null: each place is an occurrence of its own, also of an n-gram that returns within a record.
-    """
-    at = df.select(tokens.alias("t"), record.cast("bigint").alias("record"))
-    at = at.select("record", F.explode(F.transform("t", lambda _, i: F.slice("t", i + 1, max_n))).alias("s"))
-    grams = F.transform("s", lambda _, i: F.struct((i + 1).alias("n"), F.array_join(F.slice("s", F.lit(1), i + 1), GAP).alias("term")))
-    return at.select("record", F.explode(grams).alias("g")).select("g.n", "g.term", "record", F.lit(None).cast("bigint").alias("key"), F.lit(1).cast("bigint").alias("weight"))
+class _Runs:
+    """The intervals of one length over the sorted rows of a partition, batch by batch."""
 
+    def __init__(self, n: int) -> None:
+        self.n, self.held = n, None
 
-def counted(keyed: DataFrame) -> DataFrame:
-    """(n, term, total, records) from rows (n, term, record, key, weight).
+    def add(self, names: pa.Array, totals: np.ndarray, records: np.ndarray, lo: list, hi: list) -> Iterator[tuple]:
+        """Takes a batch's runs in order; gives those that are over, and holds the last."""
+        names, totals, records = names.to_pylist(), totals.tolist(), records.tolist()
+        first = self.held is None
+        if not first:
+            if names[0] == self.held[0]:
+                totals[0] += self.held[1]
+                records[0] += self.held[2]
+                lo[0], first = self.held[4], self.held[3]
+            else:
+                yield self.held
+        edges = [first] + [False] * (len(names) - 1)
+        rows = list(zip(names, totals, records, edges, lo, hi))
+        self.held = rows.pop()
+        yield from rows
 
-    Rows of one term, record and key count once (a null key never repeats another); a null record counts in the total
-    alone. Sums of bigint; an empty table gives no rows.
-    """
-    ordered = keyed.repartitionByRange(tasks(keyed.sparkSession), "n", "term", "record").sortWithinPartitions("n", "term", "record", "key")
-    parts = ordered.mapInArrow(_intervals, "n int, term string, total bigint, records bigint")
-    return parts.groupBy("n", "term").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
+    def end(self) -> Iterator[tuple]:
+        if self.held:
+            yield (*self.held[:3], True, *self.held[4:])
 
 
-def term_counts(df: DataFrame) -> DataFrame:
-    """(term, total, records) over rows as of :func:`clean_rows`; each row_id counts once for a word and chunk."""
-    keyed = df.select(F.lit(1).alias("n"), "term", F.col("chunk_id").cast("bigint").alias("record"), F.col("row_id").cast("bigint").alias("key"), F.col("freq").cast("bigint").alias("weight"))
-    return counted(keyed).select("term", "total", "records")
+def _reduced(names: pa.Array, at: np.ndarray, weight: np.ndarray, new: np.ndarray, record: pa.Array | None):
+    ends = np.append(at[1:], len(weight)) - 1
+    lo, hi = ([None] * len(at),) * 2 if record is None else (record.take(pa.array(at)).to_pylist(), record.take(pa.array(ends)).to_pylist())
+    return names.take(pa.array(at)), np.add.reduceat(weight, at), np.add.reduceat(new.astype("int64"), at), list(lo), list(hi)
+
 
+def _emit(runs: list[tuple[int, tuple]]) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId()
+    columns = list(zip(*((n, *row) for n, row in runs))) or [()] * 7
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+    n, term, total, records, edge, lo, hi = (pa.array(c, k) for c, k in zip(columns, kinds))
+    return pa.RecordBatch.from_arrays([n, term, total, records, edge, pa.array([part] * len(n), pa.int32()), lo, hi], names=["n", "term", "total", "records", "edge", "part", "lo", "hi"])
 
-def ngram_counts(df: DataFrame, tokens: str, record: str, max_n: int = 3) -> DataFrame:
-    """(n, term, total, records) of all n-grams up to ``max_n`` of an array column; null arrays and tokens have none."""
-    t = F.filter(tokens, lambda x: x.isNotNull())
-    return counted(suffixes(df, t, F.col(record), max_n))
+
+def _word_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (term, record, key), with a weight: the intervals of single words. A row alike to the one before it
+    in all three adds nothing; a null key never repeats another, a null record counts in the total alone."""
+    runs, last = _Runs(1), None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        term, record, key, weight = b.column("term"), b.column("record"), b.column("key"), np.asarray(b.column("weight"))
+
+        def same(column: pa.Array, before) -> np.ndarray:
+            out = np.empty(len(column), bool)
+            out[0] = last is not None and column[0].as_py() is not None and column[0].as_py() == before
+            out[1:] = np.asarray(pc.fill_null(pc.equal(column[1:], column[:-1]), False))
+            return out
+
+        own = same(term, last and last[0])
+        again = own & same(record, last and last[1])
+        repeated = own & same(key, last and last[2])
+        repeated &= again | np.asarray(record.is_null())
+        at = np.flatnonzero(np.append(True, ~own[1:]))
+        done = list(runs.add(*_reduced(term, at, np.where(repeated, 0, weight), ~again & np.asarray(record.is_valid()), record)))
+        last = tuple(c[len(c) - 1].as_py() for c in (term, record, key))
+        yield _emit([(1, r) for r in done])
+    yield _emit([(1, r) for r in runs.end()])
+
+
+def _gram_intervals(max_n: int):
+    """Sorted rows (suffix, again) to the intervals of all n-grams up to ``max_n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, last = [_Runs(n) for n in range(1, max_n + 1)], None
+        for b in batches:
+            if not (rows := b.num_rows):
+                continue
+            # the last row of the batch before stands in front, so the first common prefix is known
+            suffix = b.column("suffix") if last is None else pa.concat_arrays([last, b.column("suffix")])
+            front = len(suffix) - rows
+            parts = pc.split_pattern(suffix, GAP)
+            start, length, flat = np.asarray(parts.offsets)[:-1], np.asarray(pc.list_value_length(parts)), parts.values
+            again, common, out = np.asarray(b.column("again")), np.ones(len(suffix) - 1, bool), []
+            names = None
+            for n in range(1, max_n + 1):
+                has = length >= n
+                token = flat.take(pa.array(np.where(has, start + n - 1, 0), mask=~has))
+                common &= np.asarray(pc.fill_null(pc.equal(token[1:], token[:-1]), False))
+                names = token if names is None else pc.binary_join_element_wise(names, token, " ")
+                own = np.flatnonzero(has[front:])
+                if not own.size:
+                    continue
+                fresh = ~common[own - 1 + front] if front else np.append(True, ~common[own[1:] - 1]) if own[0] == 0 else ~common[own - 1]
+                at = np.flatnonzero(np.append(True, fresh[1:]))
+                grams = names.take(pa.array(own + front))
+                out += [(n, r) for r in every[n - 1].add(*_reduced(grams, at, np.ones(own.size, np.int64), again[own] < n, None))]
+            last = suffix.slice(len(suffix) - 1)
+            yield _emit(out)
+        yield _emit([(r.n, x) for r in every for x in r.end()])
+
+    return run
+
+
+def _suffixes(max_n: int):
+    """Rows (tokens) to a row for each place: its suffix cut to ``max_n`` tokens, and how many of them it shares with the
+    one before it in the order of this record's suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            flat = lists.flatten()
+            total = len(flat)
+            record = np.repeat(np.arange(len(sizes)), sizes)
+            codes = np.asarray(flat.dictionary_encode().indices).astype(np.int64)
+            columns, tokens = [], []
+            for k in range(max_n):
+                there = np.arange(total) + k
+                inside = there < total
+                there = np.where(inside, there, 0)
+                inside &= record[there] == record if total else inside
+                columns.append(np.where(inside, codes[there] if total else 0, -1))
+                tokens.append(flat.take(pa.array(there, mask=~inside)))
+            order = np.lexsort((*columns[::-1], record))
+            shared, equal = np.zeros(total, np.int32), record[order][1:] == record[order][:-1]
+            for c in columns:
+                c = c[order]
+                equal = equal & (c[1:] == c[:-1]) & (c[1:] >= 0)
+                shared[order[1:]] += equal
+            joined = pc.binary_join_element_wise(*tokens, GAP, null_handling="skip") if max_n > 1 else tokens[0]
+            spread = (np.arange(total) * 40503 & 0xFFFF).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(joined, pa.string()), pa.array(shared, pa.int32()), pa.array(spread)], names=["suffix", "again", "spread"])
+
+    return run
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    """(n, term, total, records): intervals at the ends of partitions are put together. A record that goes on from one
+    part to the next counts once."""
+    parts = written(parts)
+    edges = parts.where("edge").groupBy("n", "term").agg(F.sum("total").alias("total"), F.sum("records").alias("records"), F.array_sort(F.collect_list(F.struct("part", "lo", "hi"))).alias("p"))
+    twice = F.aggregate(F.zip_with("p", F.slice("p", F.lit(2), F.size("p")), lambda x, y: F.coalesce((x.hi == y.lo).cast("bigint"), F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+    return parts.where(~F.col("edge")).select("n", "term", "total", "records").unionAll(edges.select("n", "term", "total", F.col("records") - twice))
+
+
+def term_counts(df: DataFrame) -> DataFrame:
+    """(term, total, records) over rows as of :func:`clean_rows`; each row_id counts once for a word and chunk, rows
+    without a row_id each for themselves, a null chunk in the total alone. An empty table gives no rows."""
+    keyed = df.select("term", F.col("chunk_id").cast("bigint").alias("record"), F.col("row_id").cast("bigint").alias("key"), F.col("freq").cast("bigint").alias("weight"))
+    order = ["term", "record", "key"]
+    return _whole(keyed.repartitionByRange(tasks(keyed), *order).sortWithinPartitions(*order).mapInArrow(_word_intervals, PARTS)).select("term", "total", "records")
+
+
+def ngram_counts(df: DataFrame, tokens: Column | str, max_n: int = 3) -> DataFrame:
+    """(n, term, total, records) of all n-grams up to ``max_n`` of an array column, each row a record; an n-gram's tokens
+    are parted by spaces. Null arrays and tokens have none, repeated rows are records of their own."""
+    t = df.select(F.coalesce(F.filter(tokens, lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("t"))
+    rows = t.mapInArrow(_suffixes(max_n), "suffix string, again int, spread int")
+    ordered = rows.repartitionByRange(tasks(rows), "suffix", "spread").sortWithinPartitions("suffix").select("suffix", "again")
+    return _whole(ordered.mapInArrow(_gram_intervals(max_n), PARTS))
 
 
 def marked_terms(df: DataFrame, rare_total: int = 5, rare_records: int = 1, common_share: float = 0.3) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,18 +55,37 @@ def test_one_hot_term_over_many_tasks(spark, rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_ngrams(spark, rows):
-    docs = [["a", "b", "a", "b", "a"], ["a", "b"], [], ["c", None, "a"], None]
-    df = spark.createDataFrame(list(enumerate(docs)), "doc bigint, toks array<string>")
+def grams(docs, max_n):
     want, where = Counter(), defaultdict(set)
     for d, t in enumerate(docs):
         t = [x for x in t or [] if x is not None]
-        for n in (1, 2, 3):
+        for n in range(1, max_n + 1):
             for i in range(len(t) - n + 1):
                 g = (n, " ".join(t[i : i + n]))
                 want[g] += 1
                 where[g].add(d)
-    assert rows(Q.ngram_counts(df, "toks", "doc")) == sorted(((*g, c, len(where[g])) for g, c in want.items()), key=repr)
+    return sorted(((*g, c, len(where[g])) for g, c in want.items()), key=repr)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_ngrams(spark, rows, batch):
+    rnd = random.Random(batch)
+    docs = [["a", "b", "a", "b", "a"], ["a", "b"], [], ["c", None, "a"], None, ["a"] * 40, ["b\tx", "b", "a", "b\tx"]]
+    docs += [rnd.choices(["a", "b", "c", "ab", "b!", "\u00e9"], k=rnd.randint(0, 30)) for _ in range(40)]
+    df = spark.createDataFrame([(t, 9, "x") for t in docs], "toks array<string>, n int, term string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for n in (1, 2, 3, 5):
+            assert rows(Q.ngram_counts(df, "toks", n)) == grams(docs, n)
+        assert rows(Q.ngram_counts(df.where("n = 1"), "toks")) == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_record_over_many_tasks(spark, rows):
+    # one word of one chunk holds most rows: its rows spread, its chunk counts once
+    data = [(i, 1, "hot", 1) for i in range(9000)] + [(i, 2, "hot", 1) for i in range(9000, 9100)] + [(i, None, "hot", 1) for i in range(9100, 9200)]
+    assert rows(Q.term_counts(Q.clean_rows(table(spark, data + data[:500])))) == [("hot", 9200, 2)]
 
 
 def test_no_rows(spark, rows):
