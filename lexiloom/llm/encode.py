@@ -18,6 +18,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.plans.lineage import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # White space as the tokenizer has it, its pattern (letters first, as no other branch begins with them, and
 # without ways back), and the bytes that its alphabet writes as themselves.
@@ -29,6 +31,8 @@ NONE = 2**31 - 1
 #: Buckets of the rank literal and of the word literal; primes near a power of two.
 RANK_BUCKETS, WORD_BUCKETS = 16381, 65521
 CACHED_CHARS = 32
+#: Parts of each class of counts, of which the last one that fits into the cache takes a part.
+SLOTS = 64
 #: Words of more bytes are parted before they are folded.
 LONG = 40
 
@@ -142,12 +146,18 @@ def _bucket(word: Column) -> Column:
 
 
 def _cache(docs: DataFrame, text: str, vocabulary: Vocabulary, cached: int) -> Column:
-    """The word literal: the ``cached`` most frequent words of the corpus with their ids, in buckets."""
+    """The word literal: about the ``cached`` most frequent words of the corpus, and no more, with their ids, in buckets."""
     spark = docs.sparkSession
     counts = docs.select(F.explode(words(text)).alias("w")).where(F.length("w") <= CACHED_CHARS).groupBy("w").count()
-    top = counts.orderBy(F.desc("count"), "w").limit(cached).select("w")
-    # the limit leaves one partition; the folds shall not run in one task
-    top = top.repartition(spark.sparkContext.defaultParallelism, "w")
+    # no sort: words by classes of counts, each in some slots by a hash, and as many of the upper classes as there is room
+    level = (F.floor(F.log2("count") * 16) * SLOTS + F.pmod(F.xxhash64("w"), F.lit(SLOTS))).alias("level")
+    counts = written(counts.select("w", level))
+    least, room = None, cached
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # some thousand rows at most
+        if (room := room - row["count"]) < 0:
+            break
+        least = row["level"]
+    top = counts.where(F.col("level") >= F.lit(least).cast("bigint")).select("w").repartition(spark.sparkContext.defaultParallelism, "w")
     folded = _with(top, vocabulary.tables(spark) | {"w": F.col("w")}, "ids", lambda t: _fold(t.w, t))
     buckets = folded.groupBy(_bucket(F.col("w")).alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("e"))
     every = spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("b")).join(buckets, "b", "left")
