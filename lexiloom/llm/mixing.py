@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.plans.lineage import cut
+from lexiloom.plans.lineage import cut, spread_join, written
 from lexiloom.sources.tables import tasks
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,8 +32,10 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Block numbers have at most so many bits, a block at most about so many documents, a shard at least so many blocks.
 MAX_BITS, BLOCK_DOCS, SHARD_BLOCKS = 20, 64, 16
-#: Rows of the targets that are sent to every task; more of them are joined by a shuffle.
+#: Rows of the targets that are sent to every task; more of them are joined by a shuffle with salts.
 MAX_SIDE = 50_000
+# Primes above all numbers of units that matter; a unit's number times one of them is below 2 ** 63.
+PRIMES = (998_244_353, 1_000_000_007, 1_000_000_009, 1_073_741_789)
 
 
 def _sizes(ranks: Broadcast):
@@ -67,10 +69,15 @@ def _targets(targets: DataFrame) -> DataFrame:
     return own.withColumn("target_share", F.col("weight") / F.sum("weight").over(W.partitionBy("mix_id")))
 
 
-def _side(df: DataFrame) -> DataFrame:
-    """``df`` as the broadcast side of a join by source if it is small (counted), else as it is: a source may hold a
-    third of all documents, which a shuffle by source would bring together."""
-    return F.broadcast(df) if df.limit(MAX_SIDE + 1).count() <= MAX_SIDE else df
+def _permuted(unit: Column, n: Column, seed: int) -> Column:
+    """Another number below ``n`` for each ``unit`` below ``n``, by a key of the mix and source: times a prime that doesn't
+    divide ``n``, plus an offset. Blocks are in random order already, so this parts the copies of a block."""
+    key = F.xxhash64(F.lit(seed), "mix_id", "source")
+    at = F.pmod(key, F.lit(len(PRIMES)))
+    prime = F.get(F.array(*map(F.lit, PRIMES)), at.cast("int"))
+    other = F.get(F.array(*map(F.lit, PRIMES)), F.pmod(at + 1, F.lit(len(PRIMES))).cast("int"))
+    a = F.when(n % prime == 0, other).otherwise(prime).cast("bigint")
+    return F.pmod(F.pmod(unit * a, n) + F.pmod(F.shiftright(key, 8), n), n)
 
 
 def _place(seed: int) -> Column:
@@ -92,7 +99,7 @@ class Mix:
         self.spark, self.seed, self.shard_tokens = sizes.sparkSession, seed, shard_tokens
         self.targets = cut(_targets(targets))
         used = sizes.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull() & F.col("source").isNotNull())
-        self.sizes = cut(used)
+        self.sizes = written(used)
         have = self.sizes.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("docs"))
         quotas = self.targets.join(have, "source", "left").fillna(0, ["have", "docs"])
         reach = F.when((F.col("have") > 0) & (F.col("cap") > 0), F.col("cap") * F.col("have") / F.col("target_share"))
@@ -108,10 +115,14 @@ class Mix:
         #: (mix_id, source, ..., wanted, quota, passes, rest, bits); one row for each row of the targets.
         self.quotas = cut(quotas.withColumn("rest", F.col("quota") - F.col("passes") * F.col("have")).withColumn("bits", bits))
 
+    def wanted(self) -> DataFrame:
+        """(mix_id, source, tokens, documents, wanted_tokens, quota, passes, rest): what each source has and gives."""
+        return self.quotas.select("mix_id", "source", F.col("have").alias("tokens"), F.col("docs").alias("documents"), F.col("wanted").alias("wanted_tokens"), "quota", "passes", "rest")
+
     def placed(self) -> DataFrame:
         """(mix_id, source, doc_id, tokens, place, block, passes, rest): each document in each mix that may use it."""
         q = self.quotas.where(F.col("quota") > 0).select("mix_id", "source", "passes", "rest", "bits")
-        rows = self.sizes.join(_side(q), "source").withColumn("place", _place(self.seed))
+        rows = spread_join(self.sizes, q, ["source"], MAX_SIDE).withColumn("place", _place(self.seed))
         return rows.withColumn("block", F.expr("shiftright(place, 63 - bits)")).drop("bits")
 
     def copies(self) -> DataFrame:
@@ -138,12 +149,14 @@ class Mix:
 
         ``copy`` counts the uses of a document in a mix from 0; positions count from 0 in each shard.
         """
-        used = cut(self.copies())
+        used = written(self.copies())
         key = ["mix_id", "source"]
         units = used.groupBy(*key, "block").agg(F.max("copies").alias("n"), F.sum(F.col("tokens") * F.col("copies")).alias("t"))
-        units = units.select(*key, "block", "t", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
-        order = W.partitionBy(*key).orderBy(F.xxhash64(F.lit(self.seed + 1), "mix_id", "source", "block", "copy"), "block", "copy")
-        units = units.withColumn("unit", F.row_number().over(order).cast("bigint") - 1)
+        # units count on from block to block; the windows are over blocks, of which a source has at most 2 ** MAX_BITS
+        own, upto = W.partitionBy(*key), W.partitionBy(*key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        units = units.select(*key, "block", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"), F.sum("n").over(own).alias("all"))
+        units = units.select(*key, "block", "all", "first", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
+        units = units.select(*key, "block", "copy", _permuted(F.col("first") + F.col("copy"), F.col("all"), self.seed + 1).alias("unit"))
         shares = self._deal(used, units)
         dealt = units.join(shares, [*key, "unit"]).select(*key, "block", "copy", "shard")
         docs = used.join(dealt, [*key, "block"]).where(F.col("copy") < F.col("copies"))
@@ -158,7 +171,7 @@ class Mix:
         mixes = counts.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("counts")).join(tokens, "mix_id")
         shards = F.greatest(F.lit(1), F.ceil(F.col("t") / self.shard_tokens)).cast("int")
         leaves = mixes.withColumn("shards", shards).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        leaves = leaves.select(F.col("mix_id").cast("bigint"), "shards", "shard", F.col("counts.source").alias("sources"), F.col("counts.n").alias("n")).repartition(tasks(self.spark), "mix_id", "shard")
+        leaves = leaves.select(F.col("mix_id").cast("bigint"), "shards", "shard", F.col("counts.source").alias("sources"), F.col("counts.n").alias("n")).repartition(tasks(used), "mix_id", "shard")
         path = leaves.mapInPandas(_leaves(self.seed), "mix_id bigint, source string, shard int, first bigint, n bigint")
         rows = path.where("n > 0").select("mix_id", "source", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("unit"))
         return rows.select(F.col("mix_id").cast(units.schema["mix_id"].dataType), "source", "unit", "shard")
@@ -203,5 +216,5 @@ def _leaves(seed: int):
 
 def mix(docs: DataFrame, targets: DataFrame, ranks: str = RANKS, **options) -> Mix:
     """The mixture of ``docs`` (doc_id, source, text) for the rows of ``targets``."""
-    wanted = targets.where(F.col("source").isNotNull()).select("source").distinct()
-    return Mix(token_sizes(docs.select("doc_id", "source", "text").join(_side(wanted), "source", "left_semi"), ranks), targets, **options)
+    wanted = cut(targets.where(F.col("source").isNotNull()).select("source").distinct())
+    return Mix(token_sizes(spread_join(docs.select("doc_id", "source", "text"), wanted, ["source"], MAX_SIDE, "left_semi"), ranks), targets, **options)

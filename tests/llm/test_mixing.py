@@ -97,3 +97,17 @@ def test_token_sizes(spark, rows):
     docs = spark.createDataFrame([(1, "a", "Hello world"), (2, "a", None), (3, None, ""), (4, "b", "<|endoftext|>")], "doc_id bigint, source string, text string")
     assert rows(M.token_sizes(docs)) == [(1, "a", 2), (2, "a", 0), (3, None, 0), (4, "b", 7)]
     assert M.mix(docs, targets(spark, (1, "a", 1.0, 1))).selection().count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60, 1000])
+def test_units_are_permuted(spark, n):
+    rows = spark.range(n).selectExpr("id", "1 as mix_id", "'s' as source")
+    assert sorted(r.u for r in rows.select(M._permuted(rows.id, M.F.lit(n), 8).alias("u")).collect()) == list(range(n))
+
+
+def test_many_targets_are_joined_over_salts(spark, rows, monkeypatch):
+    df, _ = sizes(spark, a=200, b=50)
+    t = targets(spark, (1, "a", 1.0, 1), (1, "b", 1.0, 3), (2, "a", 1.0, 2))
+    want = rows(M.Mix(df, t, shard_tokens=700).selection())
+    monkeypatch.setattr(M, "MAX_SIDE", 0)
+    assert rows(M.Mix(df, t, shard_tokens=700).selection()) == want and want
