@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import WORD
+from lexiloom.llm.blocks import in_blocks
 
 BLOCK = 3
+PAIRS = "item_id bigint, doc_id bigint"
 
 
 class Patterns:
@@ -72,20 +73,6 @@ def _search(patterns: Broadcast):
     return run
 
 
-def _blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The query set in blocks of at most ``max_words`` words (one longer item is a block of its own)."""
-    held, size = [], 0
-    for item, text in items.toLocalIterator():
-        words = re.findall(WORD, text.lower())
-        if held and size + len(words) > max_words:
-            yield held
-            held, size = [], 0
-        held.append((item, words))
-        size += len(words)
-    if held:
-        yield held
-
-
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, line: str, run: int = 12, max_words: int = 200_000) -> DataFrame:
     """(item_id, doc_id), distinct: at least ``run`` words in a row of the item stand in a row in the document.
 
@@ -94,11 +81,14 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     """
     spark = docs.sparkSession
     corpus = docs.where(F.col(doc_id).isNotNull() & (F.length(text) >= 2 * run - 1)).select(F.col(doc_id).cast("bigint"), text)
-    queries = items.where(F.col(item_id).isNotNull() & F.col(line).isNotNull()).select(F.col(item_id).cast("bigint"), line)
-    passes = [corpus.mapInArrow(_search(spark.sparkContext.broadcast(Patterns(block, run))), "item_id bigint, doc_id bigint") for block in _blocks(queries, max_words)]
-    if not passes:
-        return spark.createDataFrame([], "item_id bigint, doc_id bigint")
-    return reduce(DataFrame.unionAll, passes).distinct()
+    queries = items.where(F.col(item_id).isNotNull() & F.col(line).isNotNull()).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(line).alias("text"))
+
+    def search(block: list[Row]) -> tuple[DataFrame, Broadcast]:
+        patterns = spark.sparkContext.broadcast(Patterns([(r.item_id, r.words) for r in block], run))
+        return corpus.mapInArrow(_search(patterns), PAIRS), patterns
+
+    pairs = in_blocks(queries, run, max_words, search)
+    return spark.createDataFrame([], PAIRS) if pairs is None else pairs.distinct()
 
 
 def found(books: DataFrame, items: DataFrame) -> DataFrame:
@@ -110,9 +100,3 @@ def report(books: DataFrame, items: DataFrame) -> DataFrame:
     """(book_id, n_items, items): each book that holds a leaked passage, with the ids of its items in order."""
     hits = F.array_sort(F.collect_set("item_id"))
     return found(books, items).groupBy("book_id").agg(hits.alias("items")).select("book_id", F.size("items").alias("n_items"), "items")
-
-
-def by_set(books: DataFrame, items: DataFrame) -> DataFrame:
-    """(set_name, items, books): how many items of each held-out set leaked, into how many books; a null set is one."""
-    sets = items.select("item_id", "set_name").distinct()
-    return found(books, items).join(sets, "item_id").groupBy("set_name").agg(F.count_distinct("item_id").alias("items"), F.count_distinct("book_id").alias("books"))

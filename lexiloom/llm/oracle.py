@@ -66,6 +66,19 @@ final AS (SELECT w, arg_min(t, len(t)) AS t FROM bpe GROUP BY w),
 done AS MATERIALIZED (SELECT w, list(id ORDER BY k) AS ids FROM (SELECT w, k, t[k] AS h FROM final, unnest(range(1, len(t) + 1)) AS u(k)) JOIN ranks USING (h) GROUP BY w),
 docs AS (SELECT doc_id, flatten(list(ids ORDER BY i, j)) AS ids FROM tok JOIN done USING (w) GROUP BY doc_id)"""
 
+#: (n, term, total, records): all n-grams of up to three words of the texts.
+NGRAMS = r"""w AS (SELECT row_number() OVER () AS r, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS w FROM documents),
+grams AS (SELECT n::INT AS n, r, array_to_string(w[i:i + n - 1], ' ') AS term FROM w, unnest(range(1, 4)) AS a(n), unnest(range(1, len(w) + 2 - n)) AS b(i))"""
+
+#: (mix_id, source, ...): the tokens of each source and what its mixes take of them.
+QUOTAS = rf"""{IDS},
+sizes AS (SELECT source, len(ids) AS tokens FROM docs JOIN documents USING (doc_id) WHERE source IS NOT NULL),
+have AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS documents FROM sizes WHERE tokens > 0 GROUP BY source),
+rows AS (SELECT mix_id, source, sum(target_share) AS weight, min(CASE WHEN max_repeats < 0 THEN 0 ELSE max_repeats END) AS cap FROM mix_targets WHERE mix_id IS NOT NULL AND source IS NOT NULL AND target_share > 0 GROUP BY mix_id, source),
+shares AS (SELECT mix_id, source, cap, weight / sum(weight) OVER (PARTITION BY mix_id) AS share, coalesce(tokens, 0) AS tokens, coalesce(documents, 0) AS documents FROM rows LEFT JOIN have USING (source)),
+whole AS (SELECT *, least(sum(tokens) OVER (PARTITION BY mix_id)::DOUBLE, min(CASE WHEN tokens > 0 AND cap > 0 THEN cap * tokens / share END) OVER (PARTITION BY mix_id)) AS total FROM shares),
+quotas AS (SELECT mix_id, source, tokens, documents, floor(share * total + 0.5)::BIGINT AS wanted_tokens, CASE WHEN tokens > 0 THEN least(floor(share * total + 0.5)::BIGINT, tokens * cap) ELSE 0 END AS quota FROM whole)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -74,6 +87,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_cleaned": f"WITH {LINES} SELECT book_id, CASE WHEN source IS NULL OR text IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(coalesce(drops, []), i - 1)), lambda i: string_split(text, chr(10))[i]), chr(10)) END AS text FROM books LEFT JOIN (SELECT book_id, source, text, list(line_no) AS drops FROM marked GROUP BY ALL) USING (book_id, source, text)",
         "p2_found": f"WITH {TERMS} SELECT term AS word, 'rare' AS mark FROM marks WHERE rare UNION ALL SELECT term, 'common' FROM marks WHERE common",
         "p2_terms": f"WITH {TERMS} SELECT term, total, records, rare, common FROM marks",
+        "p2_ngrams": f"WITH {NGRAMS} SELECT n, term, count(*) AS total, count(DISTINCT r) AS records FROM grams GROUP BY n, term",
         "p3_found": f"WITH {TERMS} SELECT term AS word FROM terms WHERE total * 500 >= (SELECT sum(total) FROM terms)",
         "p3_heavy": f"WITH {TERMS} SELECT term, total FROM terms WHERE total * 500 >= (SELECT sum(total) FROM terms)",
         "p4_found": f"WITH RECURSIVE {OVERLAPS} SELECT eval_split, eval_id, train_id FROM near",
@@ -81,5 +95,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {LEAKS} SELECT item_id, book_id FROM pairs",
         "p5_report": f"WITH {LEAKS} SELECT book_id, count(*)::INTEGER AS n_items, list(item_id ORDER BY item_id) AS items FROM pairs GROUP BY book_id",
         "p6_ids": f"WITH RECURSIVE {IDS} SELECT doc_id, coalesce(ids, []::INTEGER[]) AS ids FROM (SELECT doc_id FROM documents) LEFT JOIN docs USING (doc_id)",
+        "p7_quotas": f"WITH RECURSIVE {QUOTAS} SELECT mix_id, source, tokens, documents, wanted_tokens, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE 0 END AS passes, CASE WHEN tokens > 0 THEN quota % tokens ELSE quota END AS rest FROM quotas",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

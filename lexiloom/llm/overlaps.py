@@ -21,13 +21,15 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import WORD
+from lexiloom.llm.blocks import in_blocks
 
 #: Cosines are sums of doubles; this much is left for their rounding.
 EPS = 1e-9
+PAIRS = "eval_split string, eval_id bigint, train_id bigint"
 
 
 def within(a: list[str], b: list[str], k: int) -> bool:
@@ -136,22 +138,6 @@ def _match(index: Broadcast):
     return run
 
 
-def _blocks(rows: DataFrame, min_words: int, max_words: int) -> Iterator[list[tuple[str, int, list[str]]]]:
-    """The query set in blocks of at most ``max_words`` words (one longer row is a block of its own)."""
-    held, size = [], 0
-    for split, i, text in rows.toLocalIterator():
-        words = re.findall(WORD, text.lower())
-        if len(words) < min_words:
-            continue
-        if held and size + len(words) > max_words:
-            yield held
-            held, size = [], 0
-        held.append((split, i, words))
-        size += len(words)
-    if held:
-        yield held
-
-
 def overlaps(train: DataFrame, evals: dict[str, DataFrame], share: float = 0.15, min_words: int = 10, max_words: int = 500_000) -> DataFrame:
     """(eval_split, eval_id, train_id), distinct: the pairs within the edit share.
 
@@ -162,10 +148,13 @@ def overlaps(train: DataFrame, evals: dict[str, DataFrame], share: float = 0.15,
     spark = train.sparkSession
     corpus = train.where(F.col("row_id").isNotNull() & (F.length("text") >= 2 * min_words - 1)).select(F.col("row_id").cast("bigint"), "text")
     parts = [df.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).select(F.lit(split).alias("eval_split"), F.col("row_id").cast("bigint").alias("row_id"), "text").distinct() for split, df in evals.items()]
-    passes = [corpus.mapInArrow(_match(spark.sparkContext.broadcast(Index(block, share, min_words))), "eval_split string, eval_id bigint, train_id bigint") for block in _blocks(reduce(DataFrame.unionAll, parts), min_words, max_words)]
-    if not passes:
-        return spark.createDataFrame([], "eval_split string, eval_id bigint, train_id bigint")
-    return reduce(DataFrame.unionAll, passes).distinct()
+
+    def search(block: list[Row]) -> tuple[DataFrame, Broadcast]:
+        index = spark.sparkContext.broadcast(Index([(r.eval_split, r.row_id, r.words) for r in block], share, min_words))
+        return corpus.mapInArrow(_match(index), PAIRS), index
+
+    pairs = in_blocks(reduce(DataFrame.unionAll, parts), min_words, max_words, search)
+    return spark.createDataFrame([], PAIRS) if pairs is None else pairs.distinct()
 
 
 def report(train: DataFrame, evals: dict[str, DataFrame]) -> DataFrame:

@@ -103,5 +103,4 @@ def test_leaked(spark, rows):
     assert rows(L.found(books, items)) == [(i, b) for i in (1, 5) for b in (100, 104, 105)]
     assert rows(L.leaked(books, "book_id", "text", items, "item_id", "line", max_words=5)) == [(i, b) for i in (1, 5) for b in (100, 104, 105)]
     assert rows(L.report(books, items)) == [(b, 2, [1, 5]) for b in (100, 104, 105)]
-    assert rows(L.by_set(books, items)) == sorted([("s", 1, 3), (None, 1, 3)], key=repr)
     assert rows(L.found(books.where("book_id = 0"), items)) == [] and rows(L.found(books, items.where("item_id = 0"))) == []
