@@ -49,6 +49,16 @@ def merge(split: Column, a: str, b: str, merged: str) -> Column:
     return F.replace(split, F.lit(f"|{a}||{b}|"), F.lit(f"|{merged}|"))
 
 
+def merged_tokens(split: list[str], a: str, b: str, merged: str) -> list[str]:
+    """As :func:`merge`, for a list of tokens."""
+    out, i, n = [], 0, len(split)
+    while i < n:
+        hit = i + 1 < n and split[i] == a and split[i + 1] == b
+        out.append(merged if hit else split[i])
+        i += 1 + hit
+    return out
+
+
 def plain(pieces: Column) -> Column:
     """Pieces without markers: the end marker's own piece is dropped, other markers and continuation signs cut out."""
     return F.transform(F.filter(pieces, lambda x: x != END), lambda x: F.replace(F.replace(x, F.lit(END), F.lit("")), F.lit(CONT), F.lit("")))

@@ -111,8 +111,7 @@ def _ones(x: Column) -> Column:
 
 
 def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    x = boundary_vectors(a).withColumnRenamed("vec", "x").join(a.select("word", F.size("pieces").alias("na")), "word")
-    y = boundary_vectors(b).withColumnRenamed("vec", "y").join(b.select("word", F.size("pieces").alias("nb")), "word")
+    x, y = (df.select("word", F.size("pieces").alias(n), T.boundaries(F.col("pieces"), F.length("word")).alias(v)) for df, n, v in ((a, "na", "x"), (b, "nb", "y")))
     rows = x.join(y, "word").select("word", "na", "nb", F.size("x").alias("n"), _ones(F.col("x")).alias("sx"), _ones(F.col("y")).alias("sy"), _overlap(F.col("x"), F.col("y")).alias("i"))
     return rows.withColumn("f1", ratio(2 * F.col("i"), F.col("sx") + F.col("sy")))
 

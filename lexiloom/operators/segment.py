@@ -1,20 +1,23 @@
 """Segmentation of words: merge replay, and the longest match by joins or by tries.
 
-Words are segmented once each: callers pass distinct words and join the pieces back to tokens. A model's merges and
-vocabulary are bounded by its size; they go to the tasks as literals or broadcasts.
+A model's merges and vocabulary are bounded by its size; they go to the tasks as literals or broadcasts. Texts are
+segmented where they lie, in one pass of Arrow batches: a task segments each different word of a batch once and keeps
+the pieces of the words it has met, so nothing is shuffled. The longest match by joins is the other way to the same
+pieces, without Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import tokens as T
 from lexiloom.functions.text import words
-from lexiloom.operators.words import word_tokens
 
 #: More merges are replayed by a task's own table instead of an expression with all of them.
 MAX_EXPRESSION = 200
@@ -37,37 +40,36 @@ def replay(merges: list[tuple[str, str, str]], alphabet: list[str], end_marker:
     return pieces
 
 
-def replay_word(word: str, ranks: dict[tuple[str, str], tuple[int, str]], known: set[str], end_marker: str | None) -> list[str]:
+Ranks = dict[tuple[str, str], list[tuple[int, str]]]
+
+
+def ranks_of(merges: list[tuple[str, str, str]]) -> Ranks:
+    """All places in the order of learning, with the token made, of each pair; a pair may come again."""
+    ranks: Ranks = {}
+    for r, (a, b, m) in enumerate(merges):
+        ranks.setdefault((a, b), []).append((r, m))
+    return ranks
+
+
+def replay_word(word: str, ranks: Ranks, known: set[str], end_marker: str | None) -> list[str]:
     """As :func:`replay`: the merge that ranks first behind the last one applied comes next, so each applies once."""
     split, last = [*(c if c in known else T.UNK for c in word), *([end_marker] if end_marker else [])], -1
     while True:
-        rank, pair = min(((ranks[p][0], p) for p in zip(split, split[1:]) if p in ranks and ranks[p][0] > last), default=(None, None))
-        if pair is None:
+        ahead = [(r, p, m) for p in set(zip(split, split[1:])) for r, m in ranks.get(p, ()) if r > last]
+        if not ahead:
             return split
-        last, out, i = rank, [], 0
-        while i < len(split):
-            if i + 1 < len(split) and (split[i], split[i + 1]) == pair:
-                out.append(ranks[pair][1])
-                i += 2
-            else:
-                out.append(split[i])
-                i += 1
-        split = out
+        last, (a, b), m = min(ahead)
+        split = T.merged_tokens(split, a, b, m)
 
 
-def replay_rows(distinct: DataFrame, merges: list[tuple[str, str, str]], alphabet: list[str], end_marker: str | None = T.END) -> DataFrame:
-    """(word, pieces) by merge replay with a table of the merges in each task, for vocabularies of any size."""
-    ranks: dict[tuple[str, str], tuple[int, str]] = {}
-    for r, (a, b, m) in enumerate(merges):
-        ranks.setdefault((a, b), (r, m))
-    shared = distinct.sparkSession.sparkContext.broadcast((ranks, set(alphabet)))
+class Replay:
+    """Merge replay by a table of ranks, for models of any size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([replay_word(w, table, known, end_marker) for w in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["word", "pieces"])
+    def __init__(self, merges: list[tuple[str, str, str]], alphabet: list[str], end_marker: str | None = T.END) -> None:
+        self.ranks, self.known, self.end = ranks_of(merges), set(alphabet), end_marker
 
-    return distinct.select("word").where(F.col("word").isNotNull()).distinct().mapInArrow(run, "word string, pieces array<string>")
+    def pieces(self, word: str) -> list[str]:
+        return replay_word(word, self.ranks, self.known, self.end)
 
 
 def longest_match(distinct: DataFrame, vocab: DataFrame, kind: str = "bpe", end_marker: str | None = T.END) -> DataFrame:
@@ -157,16 +159,52 @@ class Trie:
         return out
 
 
-def trie_match(distinct: DataFrame, vocab: list[str], kind: str = "bpe", end_marker: str | None = T.END) -> DataFrame:
-    """(word, pieces): as :func:`longest_match`, by tries built once in each task. Null words are dropped."""
-    tokens = distinct.sparkSession.sparkContext.broadcast(list(vocab))
+#: Words whose pieces a task keeps; when there are more it begins anew.
+KEPT = 500_000
+
+
+def pieces_of(rows: DataFrame, key: str, words: Column, make) -> DataFrame:
+    """(key, pieces): array<array<string>>, the pieces of each word of the array ``words``, in one pass.
+
+    ``make`` builds, once in each task, what gives a word's ``pieces``. Null words have null pieces, a null array too.
+    """
+    kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(tokens.value, kind, end_marker)
+        pieces, met = make().pieces, {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([trie.pieces(w) for w in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["word", "pieces"])
+            lists = b.column(1)
+            codes = lists.flatten().dictionary_encode()
+            own = []
+            for w in codes.dictionary.to_pylist():
+                if w not in met:
+                    met[w] = pieces(w)
+                own.append(met[w])
+            if len(met) > KEPT:
+                met.clear()
+            flat = pa.array(own, pa.list_(pa.string())).take(codes.indices)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=np.append(np.asarray(lists.is_null()), False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=[key, "pieces"])
+
+    return rows.select(key, words.alias("w")).mapInArrow(run, f"`{key}` {kind}, pieces array<array<string>>")
+
+
+def _by_table(distinct: DataFrame, make) -> DataFrame:
+    own = distinct.select("word").where(F.col("word").isNotNull()).distinct()
+    return pieces_of(own, "word", F.array("word"), make).select("word", F.get("pieces", F.lit(0)).alias("pieces"))
 
-    return distinct.select("word").where(F.col("word").isNotNull()).distinct().mapInArrow(run, "word string, pieces array<string>")
+
+def replay_rows(distinct: DataFrame, merges: list[tuple[str, str, str]], alphabet: list[str], end_marker: str | None = T.END) -> DataFrame:
+    """(word, pieces) by merge replay with a table of the merges in each task, for vocabularies of any size."""
+    shared = distinct.sparkSession.sparkContext.broadcast((list(merges), list(alphabet), end_marker))
+    return _by_table(distinct, lambda: Replay(*shared.value))
+
+
+def trie_match(distinct: DataFrame, vocab: list[str], kind: str = "bpe", end_marker: str | None = T.END) -> DataFrame:
+    """(word, pieces): as :func:`longest_match`, by tries built once in each task. Null words are dropped."""
+    shared = distinct.sparkSession.sparkContext.broadcast((list(vocab), kind, end_marker))
+    return _by_table(distinct, lambda: Trie(*shared.value))
 
 
 class Tokenizer:
@@ -184,35 +222,40 @@ class Tokenizer:
         if kind == "bpe" and not self.merges:
             raise ValueError("the tokenizer has no merges; train it first")
 
-    def segment(self, distinct: DataFrame) -> DataFrame:
-        """(word, pieces) of the different words of ``distinct`` (word)."""
-        own = distinct.select("word").where(F.col("word").isNotNull()).distinct()
-        if self.kind == "bpe" and len(self.merges) > MAX_EXPRESSION:
-            return replay_rows(own, self.merges, self.vocab, self.end_marker)
+    def _maker(self, spark: SparkSession):
+        """What builds this tokenizer's table in a task."""
         if self.kind == "bpe":
+            shared = spark.sparkContext.broadcast((self.merges, self.vocab, self.end_marker))
+            return lambda: Replay(*shared.value)
+        shared = spark.sparkContext.broadcast((self.vocab, "bpe" if self.kind == "bpe_long" else "wordpiece", self.end_marker))
+        return lambda: Trie(*shared.value)
+
+    def segment(self, distinct: DataFrame, joins: bool = False) -> DataFrame:
+        """(word, pieces) of the different words of ``distinct`` (word). ``joins``: the longest match by joins."""
+        own = distinct.select("word").where(F.col("word").isNotNull()).distinct()
+        if self.kind == "bpe" and len(self.merges) <= MAX_EXPRESSION:
             return own.select("word", replay(self.merges, self.vocab, self.end_marker)(F.col("word")).alias("pieces"))
-        if self.kind == "f_wpc":
-            return trie_match(own, self.vocab, "wordpiece")
-        vocab = own.sparkSession.createDataFrame([(t,) for t in self.vocab], "token string")
-        return longest_match(own, vocab, "wordpiece" if self.kind == "wpc" else "bpe", self.end_marker)
+        if joins and self.kind in ("bpe_long", "wpc"):
+            vocab = own.sparkSession.createDataFrame([(t,) for t in self.vocab], "token string")
+            return longest_match(own, vocab, "wordpiece" if self.kind == "wpc" else "bpe", self.end_marker)
+        return _by_table(own, self._maker(own.sparkSession))
+
+    def texts(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """(key, pieces): the pieces of each word of each text, array<array<string>>; null for a null text."""
+        return pieces_of(docs.select(key, text), key, words(text), self._maker(docs.sparkSession))
 
     def surfaces(self, distinct: DataFrame) -> DataFrame:
         """(word, pieces) without markers, for scoring; words as they come, re-split into words first as in training.
 
         BPE pieces of a word with digits or hyphens are those of its parts; WordPiece takes it whole.
         """
-        if not self.kind.startswith("bpe"):
-            return self.segment(distinct).select("word", T.plain(F.col("pieces")).alias("pieces"))
         own = distinct.select("word").where(F.col("word").isNotNull()).distinct()
-        parts = own.select("word", F.posexplode(words("word")).alias("pos", "part"))
-        done = self.segment(parts.select(F.col("part").alias("word"))).select(F.col("word").alias("part"), T.plain(F.col("pieces")).alias("pieces"))
-        whole = parts.join(done, "part").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "pieces"))).alias("p"))
-        flat = F.coalesce(F.flatten(F.col("p.pieces")), F.array().cast("array<string>"))
-        return own.join(whole, "word", "left").select("word", flat.alias("pieces"))
+        parts = words("word") if self.kind.startswith("bpe") else F.array("word")
+        done = pieces_of(own, "word", parts, self._maker(own.sparkSession))
+        return done.select("word", T.plain(F.flatten("pieces")).alias("pieces"))
 
 
 def tokenize_texts(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """(doc_id, pos, piece_no, piece): each text's pieces; its different words are segmented once and joined back."""
-    tokens = word_tokens(docs)
-    done = tokenizer.segment(tokens.select("word"))
-    return tokens.join(done, "word").select("doc_id", "pos", F.posexplode("pieces").alias("piece_no", "piece"))
+    """(doc_id, pos, piece_no, piece): each text's pieces. Null texts have none."""
+    tokens = tokenizer.texts(docs).select("doc_id", F.posexplode("pieces").alias("pos", "own"))
+    return tokens.select("doc_id", "pos", F.posexplode("own").alias("piece_no", "piece"))

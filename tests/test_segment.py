@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiloom.operators import metrics as M
-from lexiloom.operators.segment import Tokenizer, Trie, longest_match, replay, replay_rows, replay_word, tokenize_texts, trie_match
+from lexiloom.operators.segment import Tokenizer, Trie, longest_match, ranks_of, replay, replay_rows, replay_word, tokenize_texts, trie_match
 
 
 def words(spark, *ws):
@@ -39,7 +39,8 @@ def test_unknown_characters(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("abc", min_size=0, max_size=8), min_size=1, max_size=6), st.permutations([("a", "b"), ("b", "a"), ("ab", "c"), ("a", "a"), ("aa", "b"), ("c", "_"), ("b", "c"), ("a", "bc")]))
 def test_rank_table_replays_in_order(ws, order):
-    ranks = {p: (r, p[0] + p[1]) for r, p in enumerate(order)}
+    order = [*order, *order[2:5]]  # pairs may come again
+    ranks = ranks_of([(a, b, a + b) for a, b in order])
     for w in ws:
         split = [*w, "_"]
         for a, b in order:
@@ -58,6 +59,21 @@ def test_engines_of_replay_agree(spark):
     assert got(by_expression) == got(replay_rows(ws, MERGES, ["a", "b", "c"]))
 
 
+def test_engines_of_replay_agree_on_repeated_pairs(spark):
+    again = [("ab", "c", "abc"), ("a", "b", "ab"), ("ab", "c", "abc"), ("b", "c", "bc"), ("a", "b", "ab")]
+    ws = words(spark, "abc", "cabcab", "bcb", "")
+    by_expression = ws.select("word", replay(again, ["a", "b", "c"])(F.col("word")).alias("pieces"))
+    assert got(by_expression) == got(replay_rows(ws, again, ["a", "b", "c"])) and got(by_expression)["abc"] == ["abc", "_"]
+
+
+def test_texts_of_all_kinds(spark, rows):
+    docs = spark.createDataFrame([(1, "ab abz a"), (None, "ab"), (3, None), (4, ""), (1, "ab abz a")], "doc_id bigint, text string")
+    for t in (Tokenizer("bpe", ["a", "b", "_", "ab"], [("a", "b", "ab")]), Tokenizer("bpe_long", ["a", "b", "_", "ab"])):
+        got_ = {r.doc_id: r.pieces for r in t.texts(docs).collect()}
+        assert got_ == {1: [["ab", "_"], ["ab", "<unk>", "_"], ["a", "_"]], None: [["ab", "_"]], 3: None, 4: []}
+        assert rows(tokenize_texts(docs.where("doc_id is null"), t)) == [(None, 0, 0, "ab"), (None, 0, 1, "_")]
+
+
 def test_joins_and_tries_agree(spark, rows):
     ws = words(spark, *{"".join(x) for x in __import__("itertools").product("abz", repeat=4)}, "a", "")
     for kind, v in (("bpe", ["a", "b", "ab", "ba_", "bab", "_"]), ("wordpiece", ["[UNK]", "a", "b", "ab", "##ab", "##b", "[ab]"])):
