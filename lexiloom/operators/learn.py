@@ -1,10 +1,12 @@
 """Learners of subword vocabularies: byte-pair encoding and WordPiece.
 
 Both repeat one step: pick the best adjacent pair of the current splits, merge it everywhere. The splits of the word
-types stay a DataFrame; the driver holds only counts by pair and symbol, whose number the vocabulary bounds. A step is
-one job over the words that contain the pair; it returns how the counts change. Every ``CUT_EVERY`` steps the splits are
-checkpointed. Ties are settled by the pair itself (``lex``) or by the first place in corpus order (``first_seen``, which
-counts anew at each step, as a first place can't be kept up by differences).
+types are written once and stay a DataFrame; the driver holds only counts by pair and symbol, whose number the vocabulary
+bounds, and a heap of the pairs. A step is one job over the words that contain the pair; it returns how the counts
+change. One job takes all the next merges of byte-pair encoding of which none can be changed by those before: they
+share no token, and no new pair can get as frequent. Every ``CUT_EVERY`` jobs the splits are checkpointed. Ties are settled
+by the pair itself (``lex``) or by the first place in corpus order (``first_seen``, where the distributed engine counts
+anew at each step, as a first place can't be kept up by differences).
 
 Small type tables (at most ``max_local`` rows, checked) are learned in a single task with an index from pairs to words;
 the steps and results are the same.
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import tokens as T
 from lexiloom.operators.pairs import pair_freq, symbol_freq
-from lexiloom.plans.lineage import cut
+from lexiloom.plans.lineage import cut, written
 
 CUT_EVERY = 10
+#: Most merges of one job.
+BATCH = 32
 MERGES = "rank int, a string, b string, merged string"
 
 
@@ -161,26 +165,96 @@ def _changes(splits: DataFrame, after, learner: Learner) -> Iterator[tuple[str,
     return ((r.a, r.b, r.n) for r in rows.collect())
 
 
-def learn_distributed(types: DataFrame, learner: Learner) -> Model:
+class _Counts:
+    """The driver's counts by pair and symbol, and which pairs stand beside a token."""
+
+    def __init__(self, pairs: dict, symbols: dict) -> None:
+        self.pairs, self.symbols = pairs, symbols
+        self.ending, self.starting = defaultdict(set), defaultdict(set)
+        for p in pairs:
+            self._note(p)
+
+    def _note(self, p: tuple[str, str]) -> None:
+        self.starting[p[0]].add(p)
+        self.ending[p[1]].add(p)
+
+    def beside(self, token: str) -> set[tuple[str, str]]:
+        return self.starting[token] | self.ending[token]
+
+    def most_new(self, a: str, b: str) -> int:
+        """No pair that the merge of a and b makes is more frequent than this: it takes the place of a pair that ended
+        with a or began with b."""
+        around = [self.pairs.get(p, 0) for p in (self.ending[a] | self.starting[b]) if p != (a, b) or a == b]
+        return min(self.pairs.get((a, b), 0), max(around, default=0))
+
+    def change(self, rows: Iterator[tuple[str, str | None, int]]) -> set[tuple[str, str]]:
+        """Adds the differences; gives the pairs whose counts are others now."""
+        touched = set()
+        for x, y, n in rows:
+            table, key = (self.symbols, x) if y is None else (self.pairs, (x, y))
+            table[key] = table.get(key, 0) + n
+            if table[key] <= 0:
+                del table[key]
+            if y is not None:
+                touched.add(key)
+                self._note(key)
+        return touched
+
+
+def _next_merges(steps: _Steps, heap: _Heap, counts: _Counts, touched: set) -> list[tuple[str, str, str]]:
+    """The next merge, and those that surely follow it whatever it changes; empty if nothing is left to merge."""
+    out, used, bound = [], set(), 0
+    while steps.open() and len(out) < BATCH:
+        best = heap.best(touched)
+        touched.clear()
+        if not best:
+            break
+        a, b = best
+        merged = steps.learner.name(a, b)
+        if out and (used & {a, b, merged} or counts.pairs[best] <= bound):
+            break
+        alone = steps.learner.kind != "bpe" or merged in steps.have
+        if out and alone:
+            break
+        new = counts.most_new(a, b)
+        if (token := steps.take(a, b)) is None:
+            continue
+        out.append((a, b, token))
+        heap.drop(best)
+        used |= {a, b, merged}
+        bound = max(bound, new)
+        if alone:
+            break
+    for a, b, _ in out:  # what is left of them comes back with the differences
+        touched.add((a, b))
+    return out
+
+
+def _distributed(start: DataFrame, learner: Learner) -> Model:
     """The loop over a distributed table of splits."""
-    splits = cut(_initial(types, learner))
+    splits, since = start, 0
     steps = _Steps(learner, [r.tok for r in splits.select(F.explode(T.tokens(F.col("sp"))).alias("tok")).distinct().orderBy("tok").collect()])
     pairs, symbols, first = _counts(splits, learner)
-    since = 0
+    counts = _Counts(pairs, symbols)
+    heap, touched = _Heap(steps, pairs, symbols, lambda p: ()), set(pairs)
     while steps.open():
-        if not (best := steps.best(pairs, symbols, first)):
+        if learner.tie == "lex":
+            merges = _next_merges(steps, heap, counts, touched)
+        else:
+            best = steps.best(pairs, symbols, first)
+            token = steps.take(*best) if best else None
+            if best and token is None:
+                continue
+            merges = [(*best, token)] if best else []
+        if not merges:
             break
-        a, b = best
-        if (merged := steps.take(a, b)) is None:
-            continue
-        affected = splits.where(F.contains("sp", F.lit(f"|{a}||{b}|")))
-        after = T.merge(F.col("sp"), a, b, merged)
+        has, after = F.lit(False), F.col("sp")
+        for a, b, merged in merges:
+            has, after = has | F.contains("sp", F.lit(f"|{a}||{b}|")), T.merge(after, a, b, merged)
         if learner.tie == "lex":
-            for x, y, n in _changes(affected, after, learner):
-                table, key = (symbols, x) if y is None else (pairs, (x, y))
-                table[key] = table.get(key, 0) + n
-                if table[key] <= 0:
-                    del table[key]
+            touched |= counts.change(_changes(splits.where(has), after, learner))
+            if learner.kind == "wordpiece":  # the scores of all pairs with these tokens are others now
+                touched.update(*(counts.beside(t) for m in merges for t in m))
         splits, since = splits.withColumn("sp", after), since + 1
         if since == CUT_EVERY:
             splits, since = cut(splits), 0
@@ -189,12 +263,17 @@ def learn_distributed(types: DataFrame, learner: Learner) -> Model:
     return Model(learner, steps.merges, steps.vocab, splits)
 
 
+def learn_distributed(types: DataFrame, learner: Learner) -> Model:
+    """As :func:`learn`, with the distributed engine at any size."""
+    return learn(types, learner, max_local=0)
+
+
 class _Heap:
     """The best pair without a look at all: each pair whose score or place may have changed is pushed again, and an entry
     counts only while both are the pair's own. ``place`` gives what settles ties before the pair itself."""
 
     def __init__(self, steps: _Steps, pairs: dict, symbols: dict, place) -> None:
-        self.steps, self.pairs, self.symbols, self.place, self.entries = steps, pairs, symbols, place, []
+        self.steps, self.pairs, self.symbols, self.place, self.entries, self.gone = steps, pairs, symbols, place, [], set()
 
     def _score(self, p: tuple[str, str]) -> float | None:
         n = self.pairs.get(p, 0)
@@ -202,13 +281,18 @@ class _Heap:
             return None
         return self.steps.score(n, self.symbols.get(p[0], 1), self.symbols.get(p[1], 1))
 
+    def drop(self, p: tuple[str, str]) -> None:
+        """Leaves out a pair until it is given as changed."""
+        self.gone.add(p)
+
     def best(self, changed: set) -> tuple[str, str] | None:
+        self.gone -= changed
         for p in changed:
             if (score := self._score(p)) is not None:
                 heapq.heappush(self.entries, (-score, self.place(p), p))
         while self.entries:
             score, place, p = self.entries[0]
-            if self._score(p) == -score and self.place(p) == place:
+            if p not in self.gone and self._score(p) == -score and self.place(p) == place:
                 return p
             heapq.heappop(self.entries)
         return None
@@ -266,18 +350,11 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
         if (merged := steps.take(a, b)) is None:
             continue
         for k in sorted(where.pop(best)):
-            old, new, i = split[k], [], 0
+            old = split[k]
             if not any(p == best for p in zip(old, old[1:])):
                 continue
             add(k, -1)
-            while i < len(old):
-                if i + 1 < len(old) and (old[i], old[i + 1]) == best:
-                    new.append(merged)
-                    i += 2
-                else:
-                    new.append(old[i])
-                    i += 1
-            split[k] = new
+            split[k] = T.merged_tokens(old, a, b, merged)
             add(k, 1)
         if learner.kind == "wordpiece":  # only these three symbols have another frequency now
             touched.update(*(beside[t] for t in (a, b, merged)))
@@ -303,12 +380,12 @@ def learn(types: DataFrame, learner: Learner, max_local: int = 200_000) -> Model
     """
     if learner.tie != "lex" and "first_doc" not in types.columns:
         raise ValueError("ties by corpus order need first_doc and first_pos")
-    start = _initial(types, learner)
-    good = start.drop("sp")
-    if not 0 < good.limit(max_local + 1).count() <= max_local:
-        return learn_distributed(types, learner)
+    start = written(_initial(types, learner))  # one pass over the corpus
+    if not 0 < start.limit(max_local + 1).count() <= max_local:
+        return _distributed(start, learner)
     # the bound of the vocabulary is checked here, where its error can be caught
     _Steps(learner, [r.tok for r in start.select(F.explode(T.tokens(F.col("sp"))).alias("tok")).distinct().collect()])
+    good = start.drop("sp")
     rows = cut(good.groupBy().applyInPandas(_in_task(learner), "kind string, n bigint, x string, y string, z string"))
     lists = sorted(map(tuple, rows.where("kind <> 's'").collect()))
     splits = rows.where("kind = 's'").select(F.col("x").alias("word"), F.col("n").alias("freq"), F.col("y").alias("sp"))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 
 from lexiloom.functions import tokens as T
 from lexiloom.operators import pairs as P
-from lexiloom.operators.learn import Learner, fast_bpe, fast_wordpiece, learn, learn_distributed, learn_rows, naive_bpe, wordpiece
+from lexiloom.operators.learn import Learner, _Counts, _Heap, _next_merges, _Steps, fast_bpe, fast_wordpiece, learn, learn_distributed, learn_rows, naive_bpe, wordpiece
 from lexiloom.plans import experiments as X
 
 
@@ -122,3 +123,33 @@ def test_learner_race(spark):
     row, seconds = X.learner_comparison(types(spark, WORDS), 20)
     assert row.count() == 1 and set(seconds) == {"baseline", "fast"}
     assert X.engine_comparison(types(spark, WORDS), fast_bpe(20))
+
+
+@pytest.mark.parametrize("kind, end, duplicate", [("bpe", "_", "append"), ("wordpiece", None, "skip")])
+def test_merges_of_one_job_are_those_of_single_steps(spark, kind, end, duplicate):
+    rnd = random.Random(8)
+    freqs = {"".join(rnd.choices("abcdefgh", weights=[9, 7, 5, 4, 3, 2, 1, 1], k=rnd.randint(1, 9))): rnd.randint(1, 40) for _ in range(60)}
+    learner = Learner(kind, 10**6, "lex", end, duplicate, max_merges=40)
+    merges, vocab, split = slow(freqs, learner)
+    model = learn_distributed(types(spark, freqs), learner)
+    assert model.merges == merges and model.vocab == vocab
+    assert {r.word: T_tokens(r.sp) for r in model.splits.collect()} == split
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=9), st.integers(1, 30), min_size=1, max_size=12), st.sampled_from([None, "_"]))
+def test_no_batch_takes_a_merge_too_early(freqs, end):
+    learner = Learner("bpe", 10**6, "lex", end, max_merges=30)
+    merges, vocab, _ = slow(freqs, learner)
+    split = {w: [*w, *([end] if end else [])] for w in freqs}
+    steps = _Steps(learner, sorted({x for s in split.values() for x in s}))
+    counted = lambda: Counter(p for w, s in split.items() for p in zip(s, s[1:]) for _ in range(freqs[w]))
+    counts = _Counts(dict(counted()), {})
+    heap, touched = _Heap(steps, counts.pairs, {}, lambda p: ()), set(counts.pairs)
+    while got := _next_merges(steps, heap, counts, touched):
+        before = counted()
+        for a, b, m in got:
+            split = {w: T.merged_tokens(s, a, b, m) for w, s in split.items()}
+        after = counted()
+        touched |= counts.change((*p, after[p] - before[p]) for p in before | after if after[p] != before[p])
+    assert steps.merges == merges
