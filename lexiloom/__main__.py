@@ -1,4 +1,5 @@
-"""Command line: prepare, train, tokenize, evaluate, compare, matrix and ambiguity over parquet tables (doc_id, text)."""
+"""Command line: prepare, train, tokenize, evaluate, compare, matrix and ambiguity over parquet tables (doc_id, text);
+books are tables (book_id, text), the matrix' lines a table (row_id, text)."""
 
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     command("tokenize", "kind", "docs", "models", "data", "size:int", "out", "min-pair-freq:int")
     command("evaluate", "kind", "models", "data", "size:int", "gold", "docs", "wiki", "guten", "log", "min-pair-freq:int", "examples:str")
     command("compare", "kinds", "models", "data", "size:int", "docs", "log", "min-pair-freq:int")
-    command("matrix", "docs", "models", "gold", "wiki", "guten", "log")
+    command("matrix", "lines", "books", "models", "gold", "wiki", "guten", "log")
     command("ambiguity", "docs", "size:int", "words:int")
     return p
 
@@ -48,7 +49,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("lexiloom").getOrCreate()
     least = getattr(a, "min_pair_freq", None)
     if a.do == "prepare":
-        C.write_books(spark.read.parquet(a.books), "book_id", a.out, a.first or 1200, a.subset or 600)
+        C.write_books(spark.read.parquet(a.books).select("book_id", "text").distinct(), "book_id", a.out, a.first or 1200, a.subset or 600)
+        return
+    if a.do == "matrix":
+        lines, books = spark.read.parquet(a.lines), spark.read.parquet(a.books)
+        X.run_matrix(spark, lambda data: X.training_corpus(data, lines, books), lambda t, d, c: C.append_log(_evaluate(spark, a, t, d, c), a.log), a.models)
         return
     docs = spark.read.parquet(a.docs)
     if a.do == "train":
@@ -66,9 +71,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             tokenizer.surfaces(spark.createDataFrame([(w,) for w in a.examples.split(",")], "word string")).show(truncate=False)
     elif a.do == "compare":
         pair = [store.load(spark, store.place(a.models, k, a.data, a.size, least), k) for k in a.kinds.split(",")]
-        C.append_log(X.compare(*pair, X.ranked_types(docs, 10_000)), a.log)
-    elif a.do == "matrix":
-        X.run_matrix(spark, lambda data: docs.where(F.col("source") == data), lambda t, d, c: C.append_log(_evaluate(spark, a, t, d, c), a.log), a.models)
+        configs = tuple({"type": k, "train_data": a.data, "vocab_size": a.size, "min_pair_freq": None if k.startswith("bpe") else least or 1} for k in a.kinds.split(","))
+        C.append_log(X.compare_run(*pair, X.ranked_types(docs, 10_000), configs), a.log)
     elif a.do == "ambiguity":
         rate, examples = X.ambiguity_report(word_types(docs), a.size or 1000, a.words or 2000)
         rate.show()

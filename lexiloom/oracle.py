@@ -120,7 +120,12 @@ RANKED = """ranked AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY freq DES
 LINES = r"""lines AS (SELECT 'wiki' AS domain, text FROM wiki_test UNION ALL SELECT 'guten', line FROM guten_test),
 fert AS MATERIALIZED (SELECT domain, word, count(*) AS c FROM (SELECT domain, unnest(list_filter(string_split_regex(text, '[^\pL\pN_]+'), lambda x: x <> '')) AS word FROM lines) GROUP BY domain, word)"""
 
-LEAST = "least AS MATERIALIZED (SELECT word FROM types ORDER BY freq, seen DESC LIMIT 1000)"
+# The engine's own word bounds are of ASCII alone: letters and digits beyond it become a 0, which bounds a word as they do.
+RARE = rf"""plain AS (SELECT doc_id, {_strip("lower(text)")} AS t FROM documents),
+ascii AS MATERIALIZED (SELECT doc_id, CASE WHEN length(t) = strlen(t) THEN t ELSE array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN ord(c) > 127 AND regexp_full_match(c, '[\pL\pN]') THEN '0' ELSE c END), '') END AS t FROM plain),
+rare_tok AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, regexp_extract_all(t, '\b[a-z''-]+\b') AS w FROM ascii), unnest(range(1, len(w) + 1)) AS t(i)),
+rare AS MATERIALIZED (SELECT word, count(*) AS freq, min(struct_pack(d := doc_id, p := i)) AS seen FROM rare_tok GROUP BY word)"""
+LEAST = f"{RARE}, least AS MATERIALIZED (SELECT word FROM rare ORDER BY freq, seen DESC LIMIT 1000)"
 
 
 def _counts(a: str, b: str) -> str:
@@ -149,6 +154,38 @@ def _rates(n: str, total: str, f: str, both: bool = True) -> str:
     return f"({total})::BIGINT AS {n}, sum({f} * len(pieces))::BIGINT AS n_pieces, {_ratio(f'sum({f} * len(pieces))', total)} AS avg_pieces, {_ratio(f'sum({f} * {unknown})', total)} AS unk_rate, {single}{_ratio(f'sum({f} * ({one} - {unknown}))', total)} AS single_known_rate"
 
 
+def _wordpiece_lists(name: str, source: str) -> str:
+    """The same greedy match written otherwise: for each place the longest token by a join on substrings, then a fold
+    over the places."""
+    vocab = [v for v in wp_vocab_list() if v[0] != "["]
+    return f"""{name}_v(v) AS MATERIALIZED (VALUES {_list(vocab)}),
+{name}_s AS (SELECT word, i, n FROM (SELECT DISTINCT word FROM {source}), unnest(range(1, len(word) + 1)) AS a(i), unnest(range(1, 8)) AS b(n) WHERE i + n <= len(word) + 1),
+{name}_m AS (SELECT word, i, max(n) AS n FROM {name}_s JOIN {name}_v ON v = CASE WHEN i > 1 THEN '##' ELSE '' END || substr(word, i, n) GROUP BY word, i),
+{name}_l AS (SELECT word, map_from_entries(list((i, n))) AS m FROM {name}_m GROUP BY word),
+{name}_f AS (SELECT word, list_reduce(list_prepend([1], list_transform(range(1, len(word) + 1), lambda i: [i])), lambda acc, x: CASE WHEN acc[-1] = x[1] THEN list_append(acc, x[1] + coalesce(m[x[1]], 100000)) ELSE acc END) AS ends FROM (SELECT DISTINCT word FROM {source}) LEFT JOIN {name}_l USING (word)),
+{name} AS MATERIALIZED (SELECT word, CASE WHEN ends[-1] <> len(word) + 1 THEN ['[UNK]'] ELSE list_transform(range(1, len(ends)), lambda k: CASE WHEN k > 1 THEN '##' ELSE '' END || word[ends[k]:ends[k + 1] - 1]) END AS pieces FROM {name}_f)"""
+
+
+# The most frequent 2,000 words, a vocabulary of 1,000 tokens learned from them step by step, and their pieces by merge
+# replay (the splits at the end) and by longest match.
+TRAINED = f"""top AS MATERIALIZED (SELECT word, freq FROM types ORDER BY freq DESC, seen LIMIT 2000),
+room AS MATERIALIZED (SELECT 1000 - 2 - count(DISTINCT c) AS k FROM (SELECT unnest(string_split(word, '')) AS c FROM top)),
+steps AS (SELECT word, freq, {_split('bpe')} AS sp, 0 AS k, NULL::VARCHAR AS m FROM top
+  UNION ALL SELECT word, freq, replace(sp, '|' || b.a || '||' || b.b || '|', '|' || b.a || b.b || '|'), steps.k + 1, b.a || b.b FROM steps,
+  (SELECT p.a, p.b FROM (SELECT freq, unnest(list_transform(range(1, len(toks)), lambda i: struct_pack(a := toks[i], b := toks[i + 1]))) AS p FROM (SELECT freq, {TOKS} AS toks FROM steps)) GROUP BY p ORDER BY sum(freq) DESC, p.a, p.b LIMIT 1) b
+  WHERE steps.k < (SELECT k FROM room)),
+done AS MATERIALIZED (SELECT * FROM steps),
+sa AS MATERIALIZED (SELECT word, {TOKS} AS pieces FROM done WHERE k = (SELECT max(k) FROM done)),
+learned AS MATERIALIZED (SELECT DISTINCT m AS v FROM done WHERE m IS NOT NULL UNION SELECT DISTINCT unnest(string_split(word || '_', '')) FROM top),
+sb_w AS (SELECT word, word || '_' AS ws, 1 AS pos, []::VARCHAR[] AS pieces FROM top
+  UNION ALL SELECT word, ws, pos + max(len(v)), list_append(pieces, arg_max(v, len(v))) FROM sb_w JOIN learned ON starts_with(substr(ws, pos), v) WHERE pos <= len(ws) GROUP BY word, ws, pos, pieces),
+sb AS MATERIALIZED (SELECT word, pieces FROM sb_w WHERE pos > len(ws))"""
+
+
+def _record(w: str, ge: str) -> str:
+    return f"{w}, {GOLD}, {ge}, {RANKED}, {_bpe_surfaces('fs', 'ranked')}, {LEAST}, {_bpe_surfaces('ls', 'least')}, {LINES}, {_bpe_surfaces('ds', 'fert')}, dom AS ({DOMAIN_ROWS}) SELECT 'bpe' AS type, 'wiki' AS train_data, {len(bpe_vocab_list())} AS vocab_size, NULL::INT AS min_pair_freq, g.*, f.*, {_ratio('l.p', 'l.c')} AS on_rare_words, o.* FROM ({GOLD_ROW}) g, ({FREQ_ROW}) f, (SELECT sum(len(pieces)) AS p, count(*) AS c FROM least JOIN ls USING (word)) l, (SELECT max(fertility) FILTER (domain = 'wiki') AS in_domain, max(fertility) FILTER (domain = 'guten') AS out_domain FROM dom) o"
+
+
 def oracle_sql() -> dict[str, str]:
     w, r = f"WITH {TOKENS}", f"WITH RECURSIVE {TOKENS}"
     bpe, wp = _bpe("seg", "types"), _wordpiece("seg", "types")
@@ -156,12 +193,32 @@ def oracle_sql() -> dict[str, str]:
     sp = {k: f"s AS (SELECT word, freq, seen, {_split(k)} AS sp FROM types)" for k in ("bpe", "naive", "wp")}
     scores = f"{w}, {sp['wp']}, f AS (SELECT tok, sum(freq)::BIGINT AS f FROM {SYMBOLS.format('s')} GROUP BY tok), p AS (SELECT a, b, sum(freq)::BIGINT AS n FROM {PAIRS.format('s')} GROUP BY a, b) SELECT a, b, n, n::DOUBLE / (x.f::DOUBLE * y.f::DOUBLE) AS score FROM p JOIN f x ON x.tok = a JOIN f y ON y.tok = b"
     lines = f"(SELECT row_id, {_strip('text')} AS text FROM (SELECT DISTINCT row_id, text FROM wiki_train)) WHERE length(text) >= 10"
-    ascii_rare = rf"regexp_extract_all(lower({_strip('text')}), '\b[a-z''-]+\b')"
     learned = {"bpe": _learner("bpe", False), "naive": _learner("naive", True), "wp": _learner("wp", False, 20), "wp_slow": _learner("wp", True, 20)}
     start = f"SELECT DISTINCT unnest({TOKS}) AS tok FROM s0"
     matrix = " UNION ALL ".join([f"SELECT 'bpe' AS type, '{d}' AS train_data, {v} AS vocab_size, NULL::INT AS min_pair_freq" for d in ("wiki", "guten600", "guten1k2") for v in (10000, 20000)] + [f"SELECT 'wpc', '{d}', {v}, {m}" for d in ("wiki", "guten600", "guten1k2") for v in (10000, 20000) for m in (100, 500)])
     ge = f"{_bpe_surfaces('gs', 'gold')}, gg AS (SELECT word, surfaces AS pieces FROM gold), {_counts('gg', 'gs')}"
+    same = f"{r}, {wp}, {_wordpiece_lists('other', 'types')} SELECT count(*) AS n_words, count(*) FILTER (s.pieces IS DISTINCT FROM o.pieces) AS n_different, count(*) FILTER (s.pieces IS DISTINCT FROM o.pieces) = 0 AS same_outputs FROM seg s FULL JOIN other o USING (word)"
+    trained = f"{r}, {TRAINED}"
+    record = _record(w, ge)
+    agree = f"SELECT 1 - ((sum(sx) + sum(sy) - 2 * sum(i)) * sum(n))::DOUBLE / ((sum(n) - sum(sx)) * sum(sy) + sum(sx) * (sum(n) - sum(sy)))::DOUBLE AS kappa, {_ratio('2 * sum(i)', 'sum(sx) + sum(sy)')} AS f1, round(avg(k), 9) AS per_word_kappa, round(avg(f1), 9) AS per_word_f1 FROM per"
+    pair = f"{r}, {RANKED}, {_bpe_surfaces('pa', 'ranked')}, {_wp_surfaces('pb', 'ranked')}, {_counts('pa', 'pb')}"
+    book = f"first AS (SELECT row_number() OVER (ORDER BY book_id, text) AS nth, string_split(text, chr(10)) AS p FROM (SELECT DISTINCT book_id, text FROM gutenberg)), parts AS (SELECT nth, {_strip('p[i]')} AS text FROM first, unnest(range(1, len(p) + 1)) AS t(i) WHERE {_strip('p[i]')} <> '')"
+    split = " UNION ALL ".join(f"SELECT '{x}' AS split, {_strip('text')} AS text FROM wiki_{x}" for x in ("train", "valid", "test"))
     return {
+        "lines_written": f"SELECT text, count(*) AS n FROM (SELECT {_strip('text')} AS text FROM wiki_valid) WHERE text <> '' GROUP BY text",
+        "splits_written": f"SELECT split, text, count(*) AS n FROM ({split}) WHERE text <> '' GROUP BY split, text",
+        "books_written": f"WITH {book} SELECT part, text, count(*) AS n FROM (SELECT 'all' AS part, text FROM parts WHERE nth <= 1200 UNION ALL SELECT 'subset', text FROM parts WHERE nth <= 600) GROUP BY part, text",
+        "lines_read": rf"SELECT text, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split_regex(line, '[\r\n]+')), '{SPACE}+$', '') AS text FROM guten_test) GROUP BY text",
+        "ranked_words_read": f"{w}, {RANKED} SELECT rank, word FROM ranked",
+        "word_counts_read": f"{w} SELECT word, freq FROM types ORDER BY freq DESC, seen LIMIT 2000",
+        "vocabulary_written": f"{w}, {sp['wp']} SELECT DISTINCT tok AS token FROM {SYMBOLS.format('s')}",
+        "gold_read": f"WITH {GOLD} SELECT word, array_to_string(surfaces, ' ') AS surfaces FROM gold",
+        "examples_written": f"WITH RECURSIVE {GOLD}, {_wordpiece('seg', 'gold')} SELECT word AS word_type, array_to_string(pieces, ' ') AS wordpiece_subword_tokens FROM seg",
+        "record_written": f"{w} SELECT (SELECT count(text) FROM documents) AS lines, count(*) AS types, coalesce(sum(freq), 0)::BIGINT AS tokens FROM types",
+        "eval_log": f"SELECT * FROM ({record}) UNION ALL SELECT * FROM ({record})",
+        "agreement_log": f"{pair} SELECT 'bpe' AS a_type, 'wiki' AS a_train_data, {len(bpe_vocab_list())} AS a_vocab_size, NULL::INT AS a_min_pair_freq, 'wpc' AS b_type, 'wiki' AS b_train_data, {len(wp_vocab_list())} AS b_vocab_size, 100 AS b_min_pair_freq, x.* FROM ({agree}) x",
+        "ambiguity_report": f"{trained} SELECT count(*) AS n_words, count(*) FILTER (sa.pieces <> sb.pieces) AS n_ambiguous, {_ratio('count(*) FILTER (sa.pieces <> sb.pieces)', 'count(*)')} AS rate FROM sa JOIN sb USING (word)",
+        "ambiguity_examples": f"{trained} SELECT word, freq, array_to_string(sa.pieces, ' ') AS standard, array_to_string(sb.pieces, ' ') AS longest FROM sa JOIN sb USING (word) JOIN top USING (word) WHERE sa.pieces <> sb.pieces ORDER BY freq DESC, word LIMIT 20",
         "word_freq": f"{w} SELECT word, freq FROM types",
         "top_words": f"{w} SELECT word, freq FROM types ORDER BY freq DESC, seen LIMIT 50",
         "corpus_lines": f"SELECT row_id, text FROM {lines}",
@@ -170,7 +227,8 @@ def oracle_sql() -> dict[str, str]:
         "alphabet": f"{w}, {sp['bpe']} SELECT DISTINCT tok AS symbol FROM {SYMBOLS.format('s')}",
         "wp_alphabet": f"{w}, {sp['wp']} SELECT DISTINCT tok AS symbol FROM {SYMBOLS.format('s')}",
         "word_tokens_first_n": f"{w} SELECT doc_id, pos, word FROM tok ORDER BY doc_id, pos LIMIT 1000",
-        "rare_words": f"SELECT word, count(*) AS freq FROM (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, {ascii_rare} AS w FROM documents WHERE length(text) = strlen(text)), unnest(range(1, len(w) + 1)) AS t(i)) GROUP BY word ORDER BY freq, min(struct_pack(d := doc_id, p := i)) DESC LIMIT 1000",
+        "rare_words": f"WITH {RARE} SELECT word, freq FROM rare ORDER BY freq, seen DESC LIMIT 1000",
+        "word_counts_written": f"WITH {RARE} SELECT freq, word FROM rare",
         "corpus_stats": f"{w} SELECT (SELECT count(text) FROM documents) AS lines, count(*) AS types, coalesce(sum(freq), 0)::BIGINT AS tokens FROM types",
         "fertility_tokens": r"SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '[^\pL\pN_]+'), lambda x: x <> '')) AS word FROM documents) GROUP BY word",
         "bpe_init_split": f"{w}, {sp['bpe']} SELECT word, sp FROM s",
@@ -180,6 +238,10 @@ def oracle_sql() -> dict[str, str]:
         "symbol_freq": f"{w}, {sp['wp']} SELECT tok, sum(freq)::BIGINT AS f FROM {SYMBOLS.format('s')} GROUP BY tok",
         "wp_pair_scores": scores,
         "wp_pair_scores_min100": f"{scores} WHERE n >= 100",
+        "pair_score": f"SELECT coalesce(max(score) FILTER (a = 't' AND b = '##h'), 0.0) AS score FROM ({scores})",
+        "bpe_merges_distributed": f"{learned['bpe']} {BESTS}",
+        "wp_merges_distributed": f"{learned['wp']} {BESTS}",
+        "merges_written": f"{learned['bpe']} {BESTS}",
         "bpe_merges_lex": f"{learned['bpe']} {BESTS}",
         "bpe_merges_naive": f"{learned['naive']} {BESTS}",
         "wp_merges_lex": f"{learned['wp']} {BESTS}",
@@ -195,8 +257,11 @@ def oracle_sql() -> dict[str, str]:
         "naive_bpe_longest": f"{r}, {_longest('seg', 'types', naive_vocab_list(), '')} SELECT {JOINED} FROM seg",
         "wp_encode": f"{r}, {wp} SELECT {JOINED} FROM seg",
         "wp_encode_trie": f"{r}, {wp} SELECT {JOINED} FROM seg",
+        "wp_encode_joined": f"{r}, {wp} SELECT {JOINED} FROM seg",
+        "bpe_longest_joined": f"{r}, {_longest('seg', 'types', bpe_vocab_list())} SELECT {JOINED} FROM seg",
         "wp_tokenize_docs": f"{r}, {wp} SELECT doc_id, count(*) AS n_pieces, count(DISTINCT piece) AS n_different FROM (SELECT doc_id, unnest(pieces) AS piece FROM tok JOIN seg USING (word)) GROUP BY doc_id",
-        "wp_trie_equals_baseline": f"{w} SELECT count(*) AS n_words, 0::BIGINT AS n_different, true AS same_outputs FROM types",
+        "wp_trie_equals_baseline": same,
+        "segmentation_race": same,
         "wp_type_metrics": f"{r}, {wp} SELECT {_rates('n_types', 'count(*)', '1')} FROM seg",
         "wp_text_metrics": f"{r}, {wp} SELECT {_rates('n_tokens', 'sum(freq)', 'freq')} FROM seg JOIN types USING (word)",
         "wp_output_metrics": f"{r}, {wp} SELECT {_rates('n_tokens', 'sum(freq)', 'freq', False)} FROM seg JOIN types USING (word)",
@@ -211,7 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "boundary_vectors": f"WITH {GOLD} SELECT word, coalesce(array_to_string({_vec('surfaces')}, ''), '') AS vec FROM gold",
         "gold_prf": f"WITH {GOLD}, {ge} {GOLD_ROW}",
         "gold_prf_wp": f"WITH RECURSIVE {GOLD}, {_wp_surfaces('gs', 'gold')}, gg AS (SELECT word, surfaces AS pieces FROM gold), {_counts('gg', 'gs')} {GOLD_ROW}",
-        "pairwise_agreement": f"{r}, {RANKED}, {_bpe_surfaces('pa', 'ranked')}, {_wp_surfaces('pb', 'ranked')}, {_counts('pa', 'pb')} SELECT 1 - ((sum(sx) + sum(sy) - 2 * sum(i)) * sum(n))::DOUBLE / ((sum(n) - sum(sx)) * sum(sy) + sum(sx) * (sum(n) - sum(sy)))::DOUBLE AS kappa, {_ratio('2 * sum(i)', 'sum(sx) + sum(sy)')} AS f1, round(avg(k), 9) AS per_word_kappa, round(avg(f1), 9) AS per_word_f1 FROM per",
+        "pairwise_agreement": f"{pair} {agree}",
         "experiment_matrix": matrix,
-        "eval_run": f"{w}, {GOLD}, {ge}, {RANKED}, {_bpe_surfaces('fs', 'ranked')}, {LEAST}, {_bpe_surfaces('ls', 'least')}, {LINES}, {_bpe_surfaces('ds', 'fert')}, dom AS ({DOMAIN_ROWS}) SELECT 'bpe' AS type, 'wiki' AS train_data, {len(bpe_vocab_list())} AS vocab_size, NULL::INT AS min_pair_freq, g.*, f.*, {_ratio('l.p', 'l.c')} AS on_rare_words, o.* FROM ({GOLD_ROW}) g, ({FREQ_ROW}) f, (SELECT sum(len(pieces)) AS p, count(*) AS c FROM least JOIN ls USING (word)) l, (SELECT max(fertility) FILTER (domain = 'wiki') AS in_domain, max(fertility) FILTER (domain = 'guten') AS out_domain FROM dom) o",
+        "eval_run": record,
     }

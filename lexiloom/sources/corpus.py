@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import SPACE, stripped
+from lexiloom.plans.lineage import written
 
 # ---- sources
 
@@ -24,9 +26,14 @@ def corpus_lines(lines: DataFrame, order: str, max_lines: int | None = None, min
     return kept.orderBy(order).limit(max_lines) if max_lines is not None else kept
 
 
+def first_books(books: DataFrame, order: str, first: int) -> DataFrame:
+    """The first books by ``order``, of several texts of one book by the text."""
+    return books.select(order, "text").orderBy(order, "text").limit(first)
+
+
 def book_lines(books: DataFrame, order: str, first: int | None = None) -> DataFrame:
     """(order, line_no, text): the non-blank lines of the first books by ``order``, without outer white space."""
-    some = books.orderBy(order).limit(first) if first is not None else books
+    some = first_books(books, order, first) if first is not None else books
     lines = some.select(order, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     return lines.select(order, "line_no", stripped("raw").alias("text")).where("text <> ''")
 
@@ -89,12 +96,24 @@ def write_splits(splits: dict[str, DataFrame], path: str) -> None:
 
 
 def write_books(books: DataFrame, order: str, path: str, first: int = 1200, subset: int = 600) -> None:
-    """The lines of the first books, and of a smaller number of them, as two text outputs of one cached reading."""
-    lines = book_lines(books, order, first).cache()
-    bound = books.select(order).orderBy(order).limit(subset).agg(F.max(order)).first()[0]
-    write_lines(lines, "text", f"{path}/all")
-    write_lines(lines.where(F.col(order) <= F.lit(bound)), "text", f"{path}/subset")
-    lines.unpersist()
+    """The lines of the first books, and of a smaller number of them, as two text outputs of one reading. The window is
+    over the first books alone."""
+    some = written(first_books(books, order, first).withColumn("nth", F.row_number().over(W.orderBy(order, "text"))))
+    write_lines(book_lines(some, order), "text", f"{path}/all")
+    write_lines(book_lines(some.where(F.col("nth") <= subset), order), "text", f"{path}/subset")
+
+
+def write_words(ranked: DataFrame, path: str) -> None:
+    """One text file of the words of (rank, word), in order, for :func:`ranked_words`; a list bounded by its ranks."""
+    ranked.orderBy("rank").coalesce(1).select(F.col("word").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_word_counts_json(types: DataFrame, path: str) -> None:
+    """One text file with one JSON object from the words of (word, freq) to their counts, the most frequent first; for
+    lists of bounded length, as it is one value."""
+    pairs = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("n"), "word", "freq")))
+    entries = F.transform(pairs, lambda p: F.struct(p.word, p.freq))
+    types.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_word_counts(counts: DataFrame, path: str) -> None:

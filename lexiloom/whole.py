@@ -8,14 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiloom import catalog
 from lexiloom.operators import words as Wd
 from lexiloom.operators.learn import Learner, Model, fast_bpe, fast_wordpiece, learn, naive_bpe, wordpiece
 from lexiloom.operators.segment import Tokenizer
 from lexiloom.plans import experiments as X
-from lexiloom.plans.lineage import cut
-from lexiloom.sources import corpus as C
+from lexiloom.plans.lineage import cut, written
 from lexiloom.sources.tables import table
 
 #: Tokens of a learned vocabulary, the smaller size of the reference's grid.
@@ -31,15 +31,9 @@ def _model(s: SparkSession, d: str, learner: Learner) -> Model:
     return learn(Wd.word_types(_docs(s, d)), learner)
 
 
-def _wiki(s: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text): the training lines of wiki."""
-    lines = C.corpus_lines(table(s, d, "wiki_train").select("row_id", "text").distinct(), "row_id")
-    return lines.withColumnRenamed("row_id", "doc_id")
-
-
 def _learned(s: SparkSession, d: str, *kinds: str) -> list[Tokenizer]:
     """As :func:`catalog.literal`, of models learned from wiki; a model that several kinds share is learned once."""
-    types, models, out = cut(Wd.word_types(_wiki(s, d))), {}, []
+    types, models, out = written(Wd.word_types(catalog.wiki_lines(s, d))), {}, []
     for kind in kinds:
         learner = WP if kind == "wp" else NAIVE if kind.startswith("naive") else BPE
         if learner not in models:
@@ -50,15 +44,22 @@ def _learned(s: SparkSession, d: str, *kinds: str) -> list[Tokenizer]:
 
 def _eval_run(s: SparkSession, d: str) -> DataFrame:
     """One record of a BPE trained on wiki, with the frequent and rare words of its training lines."""
-    lines, (bpe,) = _wiki(s, d), _learned(s, d, "bpe")
+    lines, (bpe,) = catalog.wiki_lines(s, d), _learned(s, d, "bpe")
     rare = cut(Wd.rarest_words(Wd.rare_types(lines)).select("word"))
     ranked, config = cut(X.ranked_types(lines, 10_000)), {"type": "bpe", "train_data": "wiki", "vocab_size": len(bpe.vocab)}
     return catalog.flat(X.evaluate(bpe, catalog.gold(s, d), ranked, rare, catalog.domains(s, d), config))
 
 
+def _experiment(s: SparkSession, d: str) -> DataFrame:
+    """A WordPiece run trained on wiki and tried on its test lines, without its times."""
+    test = table(s, d, "wiki_test").select(F.col("row_id").alias("doc_id"), "text")
+    row = X.wordpiece_experiment(catalog.wiki_lines(s, d), test, SIZE)
+    shown = ["n_tokens", "n_pieces", "avg_pieces", "unk_rate", "single_rate", "single_known_rate", "n_words", "n_different", "same_outputs"]
+    return row.select("corpus_statistics.*", "vocabulary_training.vocabulary", "vocabulary_training.merges", *[f"tokenization_comparison.{c}" for c in shown])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "rare_words_whole": lambda s, d: Wd.rarest_words(Wd.rare_types(_docs(s, d))).select("word", "freq"),
         # learners
         "bpe_merges_lex_whole": lambda s, d: _model(s, d, BPE).merges_df(s),
         "bpe_merges_naive_whole": lambda s, d: _model(s, d, NAIVE).merges_df(s),
@@ -71,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # segmenters and metrics with learned models
         **{f"{name}_whole": query for name, query in catalog.segmenter_queries(_learned).items()},
         "eval_run_whole": _eval_run,
+        "wordpiece_experiment": _experiment,
     }

@@ -31,7 +31,8 @@ def test_train_use_and_evaluate(spark, files):
         run(spark, files, f"evaluate --kind {kind} --models @models --data wiki --size {size} --gold @gold.tsv --docs @docs --wiki @wiki.txt --guten @guten.txt --log @log --examples cats")
     assert spark.read.json(str(files / "log")).count() == 2
     run(spark, files, "compare --kinds bpe,bpe_long --models @models --data wiki --size 24 --docs @docs --log @agree")
-    assert spark.read.json(str(files / "agree")).count() == 1
+    row = spark.read.json(str(files / "agree")).first()
+    assert (row.a.type, row.b.type, row.a.vocab_size, row.a.train_data) == ("bpe", "bpe_long", 24, "wiki") and 0 <= row.result.f1 <= 1
     run(spark, files, "ambiguity --docs @docs --size 20 --words 5")
 
 
@@ -46,3 +47,14 @@ def test_matrix_runs_every_configuration(spark, files):
     seen = []
     X.run_matrix(spark, lambda d: spark.read.parquet(str(files / "docs")), lambda t, d, c: seen.append((c["train_data"], t.kind, len(t.vocab))), str(files / "models"), runs)
     assert sorted(s[:2] for s in seen) == [("other", "wpc"), ("wiki", "bpe"), ("wiki", "wpc")]
+
+
+def test_training_sets_of_the_grid(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, "a line of wiki text"), (1, "a line of wiki text"), (2, "short")], "row_id bigint, text string")
+    books = spark.createDataFrame([(i, f"book {i}\n\nits end") for i in (3, 1, 2, 1)], "book_id bigint, text string")
+    monkeypatch.setattr(X, "BOOKS", {"guten600": 1, "guten1k2": 2})
+    assert [r.text for r in X.training_corpus("wiki", lines, books).collect()] == ["a line of wiki text"]
+    assert sorted(r.text for r in X.training_corpus("guten600", lines, books).collect()) == ["book 1", "its end"]
+    assert sorted({r.doc_id for r in X.training_corpus("guten1k2", lines, books).collect()}) == [1, 2]
+    with pytest.raises(ValueError):
+        X.training_corpus("other", lines, books)

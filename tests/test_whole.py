@@ -23,7 +23,7 @@ def stored(spark, path, name, df):
 def test_rare_words_of_all_texts(spark, tmp_path):
     counts = Counter(w for t in TEXTS if t for w in re.findall(r"\b[a-z'-]+\b", t.strip().lower()))
     path = stored(spark, tmp_path, "documents", spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string"))
-    got = [tuple(r) for r in E.queries()["rare_words_whole"](spark, path).collect()]
+    got = [tuple(r) for r in E.queries()["rare_words"](spark, path).collect()]
     assert got == counts.most_common()[:-1001:-1] and ("old", 3) in got and ("new", 2) in got and ("x", 1) not in got
 
 
