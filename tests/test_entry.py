@@ -52,5 +52,6 @@ def test_only_a_missing_folder_is_left_out(tmp_path):
     assert run().stdout == "False\n"
     (tmp_path / "lexiloom/llm").mkdir()
     (tmp_path / "lexiloom/llm/__init__.py").write_text("")
-    (tmp_path / "lexiloom/llm/queries.py").write_text("import no_such_module_at_all")
+    for name in ("oracle", "queries"):
+        (tmp_path / f"lexiloom/llm/{name}.py").write_text("import no_such_module_at_all")
     assert "no_such_module_at_all" in run().stderr
