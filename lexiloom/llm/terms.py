@@ -7,7 +7,8 @@ texts a record is a row; the common prefix of each of its suffixes with the one
 for which n the place is a duplicate. In a table of words a record's rows lie anywhere, and every suffix is one token, so
 the sort goes by (word, record, row) and duplicates are adjacent.
 
-Range bounds go down to single rows, so an interval of any size spreads over many tasks. Only the intervals at the ends
+Range bounds go down to rows of one record, and equal suffixes of a batch of texts are one row with their number, so an
+interval of any size spreads over many tasks. Only the intervals at the ends
 of a partition, a few of each, can go on in another one; they alone are put together by a shuffle.
 """
 
@@ -38,45 +39,51 @@ def clean_rows(df: DataFrame) -> DataFrame:
     return rows.where((F.col("term") != "") & (F.col("freq") > 0))
 
 
+def _rows(n: int, names: pa.Array, totals, records, edges, lo: pa.Array | None = None, hi: pa.Array | None = None) -> pa.RecordBatch:
+    size, part = len(names), TaskContext.get().partitionId()
+    none = pa.nulls(size, pa.int64())
+    columns = [pa.array(np.full(size, n, np.int32)), names.cast(pa.string()), pa.array(totals, pa.int64()), pa.array(records, pa.int64()), pa.array(edges, pa.bool_()), pa.array(np.full(size, part, np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, none if lo is None else lo, none if hi is None else hi], names=["n", "term", "total", "records", "edge", "part", "lo", "hi"])
+
+
 class _Runs:
     """The intervals of one length over the sorted rows of a partition, batch by batch."""
 
     def __init__(self, n: int) -> None:
         self.n, self.held = n, None
 
-    def add(self, names: pa.Array, totals: np.ndarray, records: np.ndarray, lo: list, hi: list) -> Iterator[tuple]:
-        """Takes a batch's runs in order; gives those that are over, and holds the last."""
-        names, totals, records = names.to_pylist(), totals.tolist(), records.tolist()
-        first = self.held is None
-        if not first:
-            if names[0] == self.held[0]:
-                totals[0] += self.held[1]
-                records[0] += self.held[2]
-                lo[0], first = self.held[4], self.held[3]
+    def add(self, names: pa.Array, at: np.ndarray, weight: np.ndarray, new: np.ndarray, record: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+        """Takes the sorted rows of a batch, whose runs begin at ``at``; gives the runs that are over, and holds the last."""
+        starts = pa.array(at)
+        names, totals, records = names.take(starts), np.add.reduceat(weight, at), np.add.reduceat(new.astype(np.int64), at)
+        lo = hi = None
+        if record is not None:
+            lo, hi = record.take(starts), record.take(pa.array(np.append(at[1:], len(weight)) - 1))
+        edge, low = self.held is None, lo and lo[0].as_py()
+        if self.held:
+            name, total, count, was_edge, was_low, _ = self.held
+            if name == names[0].as_py():
+                totals[0] += total
+                records[0] += count
+                edge, low = was_edge, was_low
             else:
-                yield self.held
-        edges = [first] + [False] * (len(names) - 1)
-        rows = list(zip(names, totals, records, edges, lo, hi))
-        self.held = rows.pop()
-        yield from rows
-
-    def end(self) -> Iterator[tuple]:
+                yield self._held()
+        k = len(names) - 1
+        if k:
+            edges = np.zeros(k, bool)
+            edges[0] = edge
+            if lo is not None:
+                lo = pa.concat_arrays([pa.array([low], pa.int64()), lo[1:]])
+            yield _rows(self.n, names[:k], totals[:k], records[:k], edges, lo and lo[:k], hi and hi[:k])
+        self.held = (names[k].as_py(), int(totals[k]), int(records[k]), edge if not k else False, low if not k else lo and lo[k].as_py(), hi and hi[k].as_py())
+
+    def _held(self, end: bool = False) -> pa.RecordBatch:
+        name, total, count, edge, low, high = self.held
+        return _rows(self.n, pa.array([name]), [total], [count], [edge or end], *(pa.array([x], pa.int64()) for x in (low, high)))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            yield (*self.held[:3], True, *self.held[4:])
-
-
-def _reduced(names: pa.Array, at: np.ndarray, weight: np.ndarray, new: np.ndarray, record: pa.Array | None):
-    ends = np.append(at[1:], len(weight)) - 1
-    lo, hi = ([None] * len(at),) * 2 if record is None else (record.take(pa.array(at)).to_pylist(), record.take(pa.array(ends)).to_pylist())
-    return names.take(pa.array(at)), np.add.reduceat(weight, at), np.add.reduceat(new.astype("int64"), at), list(lo), list(hi)
-
-
-def _emit(runs: list[tuple[int, tuple]]) -> pa.RecordBatch:
-    part = TaskContext.get().partitionId()
-    columns = list(zip(*((n, *row) for n, row in runs))) or [()] * 7
-    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-    n, term, total, records, edge, lo, hi = (pa.array(c, k) for c, k in zip(columns, kinds))
-    return pa.RecordBatch.from_arrays([n, term, total, records, edge, pa.array([part] * len(n), pa.int32()), lo, hi], names=["n", "term", "total", "records", "edge", "part", "lo", "hi"])
+            yield self._held(True)
 
 
 def _word_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +106,13 @@ def _word_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         repeated = own & same(key, last and last[2])
         repeated &= again | np.asarray(record.is_null())
         at = np.flatnonzero(np.append(True, ~own[1:]))
-        done = list(runs.add(*_reduced(term, at, np.where(repeated, 0, weight), ~again & np.asarray(record.is_valid()), record)))
+        yield from runs.add(term, at, np.where(repeated, 0, weight), ~again & np.asarray(record.is_valid()), record)
         last = tuple(c[len(c) - 1].as_py() for c in (term, record, key))
-        yield _emit([(1, r) for r in done])
-    yield _emit([(1, r) for r in runs.end()])
+    yield from runs.end()
 
 
 def _gram_intervals(max_n: int):
-    """Sorted rows (suffix, again) to the intervals of all n-grams up to ``max_n``."""
+    """Sorted rows (suffix, again, weight) to the intervals of all n-grams up to ``max_n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, last = [_Runs(n) for n in range(1, max_n + 1)], None
@@ -118,8 +124,8 @@ def _gram_intervals(max_n: int):
             front = len(suffix) - rows
             parts = pc.split_pattern(suffix, GAP)
             start, length, flat = np.asarray(parts.offsets)[:-1], np.asarray(pc.list_value_length(parts)), parts.values
-            again, common, out = np.asarray(b.column("again")), np.ones(len(suffix) - 1, bool), []
-            names = None
+            again, weight = np.asarray(b.column("again")), np.asarray(b.column("weight"))
+            common, names = np.ones(len(suffix) - 1, bool), None
             for n in range(1, max_n + 1):
                 has = length >= n
                 token = flat.take(pa.array(np.where(has, start + n - 1, 0), mask=~has))
@@ -130,18 +136,18 @@ def _gram_intervals(max_n: int):
                     continue
                 fresh = ~common[own - 1 + front] if front else np.append(True, ~common[own[1:] - 1]) if own[0] == 0 else ~common[own - 1]
                 at = np.flatnonzero(np.append(True, fresh[1:]))
-                grams = names.take(pa.array(own + front))
-                out += [(n, r) for r in every[n - 1].add(*_reduced(grams, at, np.ones(own.size, np.int64), again[own] < n, None))]
+                yield from every[n - 1].add(names.take(pa.array(own + front)), at, weight[own], np.where(again[own] < n, weight[own], 0))
             last = suffix.slice(len(suffix) - 1)
-            yield _emit(out)
-        yield _emit([(r.n, x) for r in every for x in r.end()])
+        for runs in every:
+            yield from runs.end()
 
     return run
 
 
 def _suffixes(max_n: int):
-    """Rows (tokens) to a row for each place: its suffix cut to ``max_n`` tokens, and how many of them it shares with the
-    one before it in the order of this record's suffixes."""
+    """Rows (tokens) to each place's suffix cut to ``max_n`` tokens, with how many of them it shares with the one before
+    it in the order of this record's suffixes. Equal places of a batch are one row with their number, so a hot suffix
+    leaves a task as a few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,8 +172,8 @@ def _suffixes(max_n: int):
                 equal = equal & (c[1:] == c[:-1]) & (c[1:] >= 0)
                 shared[order[1:]] += equal
             joined = pc.binary_join_element_wise(*tokens, GAP, null_handling="skip") if max_n > 1 else tokens[0]
-            spread = (np.arange(total) * 40503 & 0xFFFF).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(joined, pa.string()), pa.array(shared, pa.int32()), pa.array(spread)], names=["suffix", "again", "spread"])
+            each = pa.table([joined.cast(pa.string()), pa.array(shared, pa.int32())], names=["suffix", "again"])
+            yield from each.group_by(["suffix", "again"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["suffix", "again", "weight"]).combine_chunks().to_batches()
 
     return run
 
@@ -193,8 +199,8 @@ def ngram_counts(df: DataFrame, tokens: Column | str, max_n: int = 3) -> DataFra
     """(n, term, total, records) of all n-grams up to ``max_n`` of an array column, each row a record; an n-gram's tokens
     are parted by spaces. Null arrays and tokens have none, repeated rows are records of their own."""
     t = df.select(F.coalesce(F.filter(tokens, lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("t"))
-    rows = t.mapInArrow(_suffixes(max_n), "suffix string, again int, spread int")
-    ordered = rows.repartitionByRange(tasks(rows), "suffix", "spread").sortWithinPartitions("suffix").select("suffix", "again")
+    rows = t.mapInArrow(_suffixes(max_n), "suffix string, again int, weight bigint")
+    ordered = rows.repartitionByRange(tasks(rows), "suffix", "again").sortWithinPartitions("suffix")
     return _whole(ordered.mapInArrow(_gram_intervals(max_n), PARTS))
 
 
