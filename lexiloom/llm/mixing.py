@@ -32,6 +32,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Block numbers have at most so many bits, a block at most about so many documents, a shard at least so many blocks.
 MAX_BITS, BLOCK_DOCS, SHARD_BLOCKS = 20, 64, 16
+#: Shards whose paths are walked together.
+SHARDS_A_ROW = 64
 #: Rows of the targets that are sent to every task; more of them are joined by a shuffle with salts.
 MAX_SIDE = 50_000
 # Primes above all numbers of units that matter; a unit's number times one of them is below 2 ** 63.
@@ -170,8 +172,12 @@ class Mix:
         # one small row for each mix: its sources' counts are no more than its rows in the targets
         mixes = counts.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("counts")).join(tokens, "mix_id")
         shards = F.greatest(F.lit(1), F.ceil(F.col("t") / self.shard_tokens)).cast("int")
-        leaves = mixes.withColumn("shards", shards).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        leaves = leaves.select(F.col("mix_id").cast("bigint"), "shards", "shard", F.col("counts.source").alias("sources"), F.col("counts.n").alias("n")).repartition(tasks(used), "mix_id", "shard")
+        # in two steps: a mix may have more shards than one task should write out
+        some = F.explode(F.sequence(F.lit(0), F.floor((shards - 1) / SHARDS_A_ROW).cast("int")))
+        parts = mixes.withColumn("shards", shards).withColumn("part", some).repartition(tasks(used), "mix_id", "part")
+        last = F.least(F.col("part") * SHARDS_A_ROW + SHARDS_A_ROW, F.col("shards")) - 1
+        leaves = parts.withColumn("shard", F.explode(F.sequence(F.col("part") * SHARDS_A_ROW, last)))
+        leaves = leaves.select(F.col("mix_id").cast("bigint"), "shards", "shard", F.col("counts.source").alias("sources"), F.col("counts.n").alias("n"))
         path = leaves.mapInPandas(_leaves(self.seed), "mix_id bigint, source string, shard int, first bigint, n bigint")
         rows = path.where("n > 0").select("mix_id", "source", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("unit"))
         return rows.select(F.col("mix_id").cast(units.schema["mix_id"].dataType), "source", "unit", "shard")

@@ -110,4 +110,5 @@ def test_many_targets_are_joined_over_salts(spark, rows, monkeypatch):
     t = targets(spark, (1, "a", 1.0, 1), (1, "b", 1.0, 3), (2, "a", 1.0, 2))
     want = rows(M.Mix(df, t, shard_tokens=700).selection())
     monkeypatch.setattr(M, "MAX_SIDE", 0)
+    monkeypatch.setattr(M, "SHARDS_A_ROW", 2)
     assert rows(M.Mix(df, t, shard_tokens=700).selection()) == want and want
