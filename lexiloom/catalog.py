@@ -180,7 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wp_vocab": lambda s, d: _model(s, d, WP).vocab_df(s).select("token"),
         "bpe_train_splits": lambda s, d: _model(s, d, BPE).splits.select("word", "freq", "sp"),
         "wp_train_splits": lambda s, d: _model(s, d, WP).splits.select("word", "freq", "sp"),
-        "learner_comparison": lambda s, d: X.learner_comparison(_types(s, d), 10_000)[0],
+        "learner_comparison": lambda s, d: X.learner_comparison(_types(s, d), 500, limit=2000)[0],
         **segmenter_queries(literal),
         # gold
         "gold_parse": lambda s, d: gold(s, d).select("word", F.array_join("surfaces", " ").alias("surfaces")),

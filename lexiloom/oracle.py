@@ -182,6 +182,24 @@ sb_w AS (SELECT word, word || '_' AS ws, 1 AS pos, []::VARCHAR[] AS pieces FROM
 sb AS MATERIALIZED (SELECT word, pieces FROM sb_w WHERE pos > len(ws))"""
 
 
+def _race(name: str, first_seen: bool, size: int) -> str:
+    """WordPiece over ``top``, step by step: rows of words with their splits, and one row without a word whose split is
+    the vocabulary. With ties by corpus order it ends where the best pair makes a token that is there; else such pairs
+    don't count."""
+    toks = f"SELECT freq, seen, {TOKS} AS toks FROM {name} WHERE word IS NOT NULL"
+    symbols = f"SELECT t AS tok, sum(freq)::DOUBLE AS f FROM (SELECT freq, unnest(toks) AS t FROM ({toks})) GROUP BY t"
+    pairs = f"SELECT p.a AS a, p.b AS b, sum(freq)::DOUBLE AS n, min(struct_pack(w := seen, i := p.i)) AS place FROM (SELECT freq, seen, unnest(list_transform(range(1, len(toks)), lambda i: struct_pack(a := toks[i], b := toks[i + 1], i := i))) AS p FROM ({toks})) GROUP BY p.a, p.b"
+    made = "p.a || CASE WHEN starts_with(p.b, '##') THEN substr(p.b, 3) ELSE p.b END"
+    known = f"contains((SELECT sp FROM {name} WHERE word IS NULL), '|' || {{}} || '|')"
+    best = f"SELECT p.a, p.b, {made} AS m FROM ({pairs}) p JOIN ({symbols}) x ON x.tok = p.a JOIN ({symbols}) y ON y.tok = p.b {'' if first_seen else f'WHERE NOT {known.format(made)}'} ORDER BY p.n / (x.f * y.f) DESC, {'p.place' if first_seen else 'p.a, p.b'} LIMIT 1"
+    return f"""{name}_0 AS MATERIALIZED (SELECT word, freq, seen, {_split('wp')} AS sp FROM top),
+{name} AS (SELECT word, freq, seen, sp, 0 AS k, NULL::VARCHAR AS m, NULL::VARCHAR AS a FROM {name}_0
+  UNION ALL SELECT NULL, NULL, NULL, '|[UNK]|' || string_agg('|' || tok || '|', ''), 0, NULL, NULL FROM (SELECT DISTINCT unnest({TOKS}) AS tok FROM {name}_0)
+  UNION ALL SELECT word, freq, seen, CASE WHEN word IS NULL THEN sp || '|' || b.m || '|' ELSE replace(sp, '|' || b.a || '||' || b.b || '|', '|' || b.m || '|') END, k + 1, b.m, b.a
+  FROM {name}, ({best}) b WHERE NOT {known.format('b.m')} AND (SELECT len({TOKS}) FROM {name} WHERE word IS NULL) < {size}),
+{name}_m AS MATERIALIZED (SELECT k, a, m FROM {name} WHERE word IS NULL AND k > 0)"""
+
+
 def _record(w: str, ge: str) -> str:
     return f"{w}, {GOLD}, {ge}, {RANKED}, {_bpe_surfaces('fs', 'ranked')}, {LEAST}, {_bpe_surfaces('ls', 'least')}, {LINES}, {_bpe_surfaces('ds', 'fert')}, dom AS ({DOMAIN_ROWS}) SELECT 'bpe' AS type, 'wiki' AS train_data, {len(bpe_vocab_list())} AS vocab_size, NULL::INT AS min_pair_freq, g.*, f.*, {_ratio('l.p', 'l.c')} AS on_rare_words, o.* FROM ({GOLD_ROW}) g, ({FREQ_ROW}) f, (SELECT sum(len(pieces)) AS p, count(*) AS c FROM least JOIN ls USING (word)) l, (SELECT max(fertility) FILTER (domain = 'wiki') AS in_domain, max(fertility) FILTER (domain = 'guten') AS out_domain FROM dom) o"
 
@@ -216,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "examples_written": f"WITH RECURSIVE {GOLD}, {_wordpiece('seg', 'gold')} SELECT word AS word_type, array_to_string(pieces, ' ') AS wordpiece_subword_tokens FROM seg",
         "record_written": f"{w} SELECT (SELECT count(text) FROM documents) AS lines, count(*) AS types, coalesce(sum(freq), 0)::BIGINT AS tokens FROM types",
         "eval_log": f"SELECT * FROM ({record}) UNION ALL SELECT * FROM ({record})",
+        "learner_comparison": f"{r}, top AS MATERIALIZED (SELECT word, freq, seen FROM types ORDER BY freq DESC, seen LIMIT 2000), {_race('slow', True, 500)}, {_race('fast', False, 500)} SELECT (SELECT count(*) FROM slow_m)::INT AS n_merges, (SELECT count(*) FROM (SELECT m FROM slow_m UNION SELECT m FROM fast_m)) = (SELECT count(*) FROM (SELECT m FROM slow_m INTERSECT SELECT m FROM fast_m)) AS same_vocabulary, (SELECT count(*) FROM (FROM slow_m UNION FROM fast_m)) = (SELECT count(*) FROM (FROM slow_m INTERSECT FROM fast_m)) AS same_merge_sequence",
         "agreement_log": f"{pair} SELECT 'bpe' AS a_type, 'wiki' AS a_train_data, {len(bpe_vocab_list())} AS a_vocab_size, NULL::INT AS a_min_pair_freq, 'wpc' AS b_type, 'wiki' AS b_train_data, {len(wp_vocab_list())} AS b_vocab_size, 100 AS b_min_pair_freq, x.* FROM ({agree}) x",
         "ambiguity_report": f"{trained} SELECT count(*) AS n_words, count(*) FILTER (sa.pieces <> sb.pieces) AS n_ambiguous, {_ratio('count(*) FILTER (sa.pieces <> sb.pieces)', 'count(*)')} AS rate FROM sa JOIN sb USING (word)",
         "ambiguity_examples": f"{trained} SELECT word, freq, array_to_string(sa.pieces, ' ') AS standard, array_to_string(sb.pieces, ' ') AS longest FROM sa JOIN sb USING (word) JOIN top USING (word) WHERE sa.pieces <> sb.pieces ORDER BY freq DESC, word LIMIT 20",

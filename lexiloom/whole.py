@@ -69,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wp_vocab_whole": lambda s, d: _model(s, d, WP).vocab_df(s).select("token"),
         "bpe_train_splits_whole": lambda s, d: _model(s, d, BPE).splits.select("word", "freq", "sp"),
         "wp_train_splits_whole": lambda s, d: _model(s, d, WP).splits.select("word", "freq", "sp"),
+        "learner_comparison_whole": lambda s, d: X.learner_comparison(Wd.word_types(_docs(s, d)), SIZE)[0],
         # segmenters and metrics with learned models
         **{f"{name}_whole": query for name, query in catalog.segmenter_queries(_learned).items()},
         "eval_run_whole": _eval_run,

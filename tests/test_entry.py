@@ -21,7 +21,7 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(catalog.queries()) - set(oracle.oracle_sql()) == {"learner_comparison"}
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
 @needs_data

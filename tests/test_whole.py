@@ -80,4 +80,4 @@ def test_the_record_is_of_a_model_learned_from_wiki(spark, learned):
 
 @needs_data
 def test_both_wordpiece_learners_are_compared_at_full_size(spark):
-    assert E.queries()["learner_comparison"](spark, DATA).first().n_merges > 120
+    assert E.queries()["learner_comparison_whole"](spark, DATA).first().n_merges > 120
