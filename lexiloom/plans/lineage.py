@@ -47,7 +47,7 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     """As :func:`cut`, as a Parquet table, in folders by the columns ``by``: for tables of any size that are read more than
     once. Readers load only the columns they need, and the planner knows the size."""
     path = scratch(df.sparkSession)
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
