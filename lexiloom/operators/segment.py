@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import tokens as T
 from lexiloom.functions.text import words
+from lexiloom.plans.lineage import spread_join
 
 #: More merges are replayed by a task's own table instead of an expression with all of them.
 MAX_EXPRESSION = 200
-#: Vocabularies up to so many tokens are broadcast for the join; a larger one is shuffled.
+#: Vocabularies up to so many tokens are broadcast for the join; a larger one is shuffled, over salts.
 MAX_BROADCAST = 200_000
 
 
@@ -83,7 +84,7 @@ def longest_match(distinct: DataFrame, vocab: DataFrame, kind: str = "bpe", end_
     if kind == "wordpiece":
         small = small.where(~F.col("token").rlike(r"^\[.*\]$"))
     text = F.regexp_replace("token", f"^{T.CONT}", "") if kind == "wordpiece" else F.col("token")
-    rows, longest = small.agg(F.count("*"), F.coalesce(F.max(F.length(text)), F.lit(0))).first()
+    longest = small.agg(F.coalesce(F.max(F.length(text)), F.lit(0))).first()[0]
     whole = F.lower("word") if kind == "wordpiece" else F.concat("word", F.lit(end_marker or ""))
     base = distinct.select("word").where(F.col("word").isNotNull()).distinct()
     # partitioned by word once: the explodes, the broadcast join and the groups keep it so
@@ -93,9 +94,8 @@ def longest_match(distinct: DataFrame, vocab: DataFrame, kind: str = "bpe", end_
     cut = at.select("word", "i", "w", F.explode_outer(room).alias("n"))
     sub = F.expr("substring(w, i, n)")
     token = F.when(F.col("i") > 1, F.concat(F.lit(T.CONT), sub)).otherwise(sub) if kind == "wordpiece" else sub
-    side = F.broadcast(small) if rows <= MAX_BROADCAST else small
-    found = cut.select("word", "i", "n", token.alias("t")).join(side, F.col("t") == F.col("token"), "left")
-    matches = found.groupBy("word").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("i", "n"))).alias("m")).withColumn("w", whole)
+    found = spread_join(cut.select("word", "i", "n", token.alias("token")), small.withColumn("hit", F.lit(True)), ["token"], MAX_BROADCAST, "left")
+    matches = found.groupBy("word").agg(F.collect_list(F.when(F.col("hit"), F.struct("i", "n"))).alias("m")).withColumn("w", whole)
     at_each = F.when(F.length("w") > 0, F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
     best = F.transform(at_each, lambda i: F.coalesce(F.array_max(F.transform(F.filter("m", lambda x: x.i == i), lambda x: x.n)), F.lit(0)))
     matches = matches.select("word", "w", best.alias("best"))

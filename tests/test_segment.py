@@ -81,6 +81,13 @@ def test_joins_and_tries_agree(spark, rows):
         assert [r[1:] for r in rows(M.same_outputs(a, b))] == [(0, True)]
 
 
+def test_a_large_vocabulary_is_joined_over_salts(spark, monkeypatch):
+    ws, v = words(spark, "abab", "zab", "b", ""), vocab(spark, "a", "b", "ab", "ba", "_")
+    want = got(longest_match(ws, v))
+    monkeypatch.setattr("lexiloom.operators.segment.MAX_BROADCAST", 0)
+    assert got(longest_match(ws, v)) == want and want["abab"] == ["ab", "ab", "_"]
+
+
 def test_pieces_make_the_word():
     trie = Trie(["a", "b", "ab", "_", "b_"])
     for w in ("abab", "ba", "b", ""):
