@@ -8,7 +8,7 @@ block is an inverted index by length class, sent to all tasks, and one pass over
 shuffled. A training row reads the lists of its rarest words first and stops to take candidates once the rest of its
 vector can't reach the threshold: by the largest weights in the lists, or by the norm that is left. A candidate is
 dropped once what it has and the product of both residual norms are too little; for the others the exact dot product
-and then the word edit distance decide.
+and then the word edit distance, by bit vectors or for long rows by diagonals, decide.
 """
 
 from __future__ import annotations
@@ -29,11 +29,13 @@ from lexiloom.llm.blocks import in_blocks
 
 #: Cosines are sums of doubles; this much is left for their rounding.
 EPS = 1e-9
+#: Rows of more words are compared by diagonals.
+BITS = 2048
 PAIRS = "eval_split string, eval_id bigint, train_id bigint"
 
 
 def within(a: list[str], b: list[str], k: int) -> bool:
-    """Whether at most ``k`` words changed, added or dropped turn ``a`` into ``b``: only the band of 2k + 1 diagonals."""
+    """Whether at most ``k`` words changed, added or dropped turn ``a`` into ``b``."""
     if abs(len(a) - len(b)) > k:
         return False
     i, m, n = 0, len(a), len(b)
@@ -42,20 +44,50 @@ def within(a: list[str], b: list[str], k: int) -> bool:
     while m > i and n > i and a[m - 1] == b[n - 1]:
         m, n = m - 1, n - 1
     a, b = a[i:m], b[i:n]
-    m, n = len(a), len(b)
-    far = k + 1
-    row = [j if j <= k else far for j in range(n + 1)]
-    for i in range(1, m + 1):
-        lo, hi = max(1, i - k), min(n, i + k)
-        new = [far] * (n + 1)
-        if i <= k:
-            new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (a[i - 1] != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        if min(new[lo - 1 : hi + 1]) > k:
+    if not a or not b:
+        return True
+    return _by_bits(a, b, k) if len(a) <= BITS else _by_diagonals(a, b, k)
+
+
+def _by_bits(a: list[str], b: list[str], k: int) -> bool:
+    """Myers' bit vectors: a column of the table of distances is two whole numbers, of its steps up and down."""
+    at: dict[str, int] = defaultdict(int)
+    for i, x in enumerate(a):
+        at[x] |= 1 << i
+    all_, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = all_, 0, len(a), len(b)
+    for y in b:
+        eq, left = at.get(y, 0), left - 1
+        vertical = eq | down
+        across = (((eq & up) + up) ^ up) | eq
+        more, less = (down | ~(across | up)) & all_, up & across
+        score += bool(more & last) - bool(less & last)
+        if score - left > k:
             return False
-        row = new
-    return row[n] <= k
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(vertical | more)) & all_, more & vertical & all_
+    return score <= k
+
+
+def _by_diagonals(a: list[str], b: list[str], k: int) -> bool:
+    """For long rows: how far each diagonal gets with 0, 1, ... edits. The time is that of the words and of the square of
+    the edits, the memory that of the edits."""
+    m, n = len(a), len(b)
+    goal, reach = n - m, {0: 0}
+    for e in range(k + 1):
+        new = {}
+        for d in range(max(-e, goal - (k - e), -m), min(e, goal + (k - e), n) + 1):
+            i = reach.get(d, -2) + (e > 0)
+            i = min(max(i, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1), m, n - d)
+            if i < max(0, -d):
+                continue
+            while i < m and i + d < n and a[i] == b[i + d]:
+                i += 1
+            new[d] = i
+        if new.get(goal) == m:
+            return True
+        reach = new
+    return False
 
 
 class Index:
@@ -94,9 +126,13 @@ class Index:
         return out
 
     def _candidates(self, own: dict, most: dict, known: list[tuple[int, float]], tf: Counter, n: int) -> Iterator[tuple[str, int, list[str]]]:
-        terms = [(k, math.sqrt(f / n), f) for k, f in known if k in own]
-        by_weight, mass = sum(w * most[k] for k, w, _ in terms), sum(f for *_, f in terms)
         least = self.least - EPS
+        there = [(k, f) for k, f in known if k in own]
+        mass = sum([f for _, f in there])
+        if mass < least * least * n - EPS:  # the words of this class aren't enough, as at the first step below
+            return
+        terms = [(k, math.sqrt(f / n), f) for k, f in there]
+        by_weight = sum([w * most[k] for k, w, _ in terms])
         has: dict[int, float] = defaultdict(float)
         for k, w, f in terms:
             opens = min(by_weight, math.sqrt(mass / n)) >= least

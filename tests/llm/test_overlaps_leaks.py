@@ -31,6 +31,20 @@ def near(a, b):
 @given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14), st.integers(0, 5))
 def test_banded_distance(a, b, k):
     assert O.within(a, b, k) == (distance(a, b) <= k)
+    if abs(len(a) - len(b)) <= k:
+        assert O._by_diagonals(a, b, k) == (distance(a, b) <= k)
+    if a and b:
+        assert O._by_bits(a, b, k) == (distance(a, b) <= k)
+
+
+def test_long_rows_are_compared_in_seconds():
+    rnd = random.Random(2)
+    a = [str(rnd.randrange(5000)) for _ in range(60_000)]
+    b = list(a)
+    for _ in range(400):
+        b[rnd.randrange(len(b))] = "x"
+    del b[100:150]
+    assert O.within(a, b, 9000) and not O.within(a, b, 300)
 
 
 def edited(rnd, w, k, names):
