@@ -312,10 +312,11 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
     seen: dict = defaultdict(list)  # heaps of the words of each pair, for ties by corpus order
     touched: set = set()
 
-    def add(k: int, sign: int) -> None:
-        s, n = split[k], sign * words[k][1]
-        for t in s:
-            symbols[t] += n
+    scored = learner.kind == "wordpiece"
+
+    def add(k: int, s: list[str], sign: int) -> None:
+        """Counts the tokens and pairs of ``s``, a part of word ``k``."""
+        n = sign * words[k][1]
         for p in zip(s, s[1:]):
             pairs[p] += n
             touched.add(p)
@@ -323,10 +324,14 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
                 where[p].add(k)
                 if learner.tie != "lex":
                     heapq.heappush(seen[p], k)
-                beside[p[0]].add(p)
-                beside[p[1]].add(p)
+                if scored:
+                    beside[p[0]].add(p)
+                    beside[p[1]].add(p)
             elif pairs[p] == 0:
                 del pairs[p]
+        if scored:
+            for x in s:
+                symbols[x] += n
 
     def place(p: tuple[str, str]) -> tuple[int, ...]:
         """The first word that has the pair now, and where in it."""
@@ -339,7 +344,7 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
             heapq.heappop(seen[p])
 
     for k in range(len(split)):
-        add(k, 1)
+        add(k, split[k], 1)
     heap = _Heap(steps, pairs, symbols, place)
     while steps.open():
         best = heap.best(touched)
@@ -353,9 +358,16 @@ def learn_rows(words: list[tuple[str, int]], learner: Learner) -> tuple[_Steps,
             old = split[k]
             if not any(p == best for p in zip(old, old[1:])):
                 continue
-            add(k, -1)
-            split[k] = T.merged_tokens(old, a, b, merged)
-            add(k, 1)
+            split[k] = new = T.merged_tokens(old, a, b, merged)
+            lo = end = 0
+            if learner.tie == "lex":  # only what has changed, with one neighbour; places move in all the word
+                while old[lo] == new[lo] and lo + 1 < len(new):
+                    lo += 1
+                while end < len(new) - lo and old[-1 - end] == new[-1 - end]:
+                    end += 1
+                lo, end = max(lo - 1, 0), max(end - 1, 0)
+            add(k, old[lo : len(old) - end], -1)
+            add(k, new[lo : len(new) - end], 1)
         if learner.kind == "wordpiece":  # only these three symbols have another frequency now
             touched.update(*(beside[t] for t in (a, b, merged)))
     return steps, split
